@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
+#: Shuffle files of a finished write are of no more use; Spark deletes them when the write ends, and not only with the driver's next full collection.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Writes df once as a table in the shared folder and reads it back: lineage ends there, so a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def arrow_limits(spark: SparkSession) -> None:
@@ -89,16 +99,34 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+@lru_cache(maxsize=8)
+def _held_powers(n: int, base: int) -> np.ndarray:
+    return _powers(n, base)
+
+
 class RangeHash:
     """Hashes of byte ranges of one buffer: a polynomial modulo 2**64, so any range costs two lookups."""
 
     def __init__(self, data: np.ndarray, base: int) -> None:
         n = len(data)
-        self._inv = _powers(n + 1, pow(base, -1, 1 << 64))
+        room = 1 << max(16, n.bit_length())  # powers are kept for the next buffer
+        powers = _held_powers if room <= 1 << 22 else _powers
+        self._inv = powers(room, pow(base, -1, 1 << 64))
         self._sum = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(n, base), out=self._sum[1:])
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(room, base)[:n], out=self._sum[1:])
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((self._sum[hi] - self._sum[lo]) * self._inv[lo] + (hi - lo).astype(np.uint64))
+
+
+def with_columns(batch: pa.RecordBatch, keep: list[str], added: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The kept columns of a batch and the added ones."""
+    return pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), *added.values()], [*keep, *added])
+
+
+def ddl(df: DataFrame, names: list[str]) -> str:
+    """DDL of some columns of df."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join(f"`{x}` {kinds[x]}" for x in names)
