@@ -91,13 +91,24 @@ def _checked(kind: str) -> Callable[[Column], Column]:
     return lambda s: _valid(kind, s["m"])
 
 
+def _failed(kind: str) -> Callable[[Column], Column]:
+    return lambda s: ~_valid(kind, s["m"])
+
+
 _SPAN = "array<struct<kind:int,start:int,end:int,m:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often lambdas in the body use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _located(found: Column, gaps: Column, kind: int) -> Column:
     """Spans of the matches, of which the gaps between them tell the places. Runs over blocks, so a text with many matches costs no square."""
-    parts = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("m")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _BLOCK).cast("int")), lambda b: F.slice(parts, b * _BLOCK + 1, F.lit(_BLOCK)))
+    parts = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), found.alias("m"))
+
+    def cut_up(p):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 2) / _BLOCK).cast("int")), lambda b: F.slice(p, b * _BLOCK + 1, F.least(F.lit(_BLOCK), F.size(p) - 1 - b * _BLOCK)))
 
     def one(a, x):
         start = a["pos"] + x["gap"]
@@ -106,10 +117,10 @@ def _located(found: Column, gaps: Column, kind: int) -> Column:
 
     def block(a, b):
         inner = F.aggregate(b, F.struct(a["pos"].alias("pos"), F.array().cast(_SPAN).alias("out")), one)
-        return F.transform(F.array(inner), lambda r: F.struct(r["pos"].alias("pos"), F.concat(a["out"], F.array(r["out"])).alias("out")))[0]
+        return _let(inner, lambda r: F.struct(r["pos"].alias("pos"), F.concat(a["out"], F.array(r["out"])).alias("out")))
 
     start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{_SPAN}>").alias("out"))
-    return F.flatten(F.aggregate(blocks, start, block)["out"])
+    return F.flatten(F.aggregate(_let(parts, cut_up), start, block)["out"])
 
 
 def _found(df: DataFrame, patterns: list[tuple[str, int, str, Column]]) -> DataFrame:
@@ -134,8 +145,7 @@ def _with_spans(docs: DataFrame, text: str) -> DataFrame:
     base = _found(df, [(f"__b{i}", i, BASE[k], gates[k]) for i, k in enumerate(BASE)])
     passed = [F.filter(_none(F.col(f"__b{i}")), _checked(k)) for i, k in enumerate(BASE)]
     base = base.select(*df.columns, *(F.col(f"__b{i}") for i in range(len(BASE))), F.concat(*passed).alias("base_"))
-    ok = F.transform("base_", lambda s: F.struct(s["kind"], s["start"]))
-    refused = F.filter(F.concat(*(_none(F.col(f"__b{i}")) for i in range(1, len(BASE)))), lambda s: ~F.array_contains(ok, F.struct(s["kind"], s["start"])))
+    refused = F.concat(*(F.filter(_none(F.col(f"__b{i}")), _failed(k)) for i, k in enumerate(BASE)))
     base = base.select(*df.columns, "base_", F.when(F.col("__d"), refused).otherwise(F.array().cast(_SPAN)).alias("refused"))
     cue = F.col("__t").rlike(r"(?i)token|secret|passw|api[_-]?key")
     wants = [F.col("__t").rlike(r"@|(?i)[(\[]at[)\]]"), F.col("__d"), F.col("__d"), F.col("__d"), cue, F.col("__d")]
@@ -269,9 +279,9 @@ def spans(docs: DataFrame, text: str = "text", model: Boosted | None = None) ->
     found = _with_spans(inner, "__text")
     if model is None:
         model = train(found)
-    scored = F.filter("cands", lambda s: ~_meets(s, F.col("base_")) & F.transform(F.array(_described(s, F.col("__t"))), model.selects)[0])
+    scored = _let(F.col("base_"), lambda base: F.filter("cands", lambda s: ~_meets(s, base) & _let(_described(s, F.col("__t")), model.selects)))
     found = found.select("__row", "__t", "base_", F.when(F.size("cands") > 0, scored).otherwise(F.col("cands")).alias("more"))
-    apart = F.filter("more", lambda s: ~F.exists("more", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & ((o["kind"] < s["kind"]) | ((o["kind"] == s["kind"]) & (o["start"] < s["start"])))))
+    apart = _let(F.col("more"), lambda more: F.filter(more, lambda s: ~F.exists(more, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & ((o["kind"] < s["kind"]) | ((o["kind"] == s["kind"]) & (o["start"] < s["start"]))))))
     return found.select("__row", "__t", F.array_sort(F.transform("base_", _order)).alias("base"), F.array_sort(F.transform(F.concat("base_", apart), _order)).alias("spans"))
 
 
@@ -301,12 +311,15 @@ def redacted(docs: DataFrame, text: str = "text", model: Boosted | None = None)
     merged = F.aggregate("spans", F.array().cast("array<struct<start:int,kind:int,end:int>>"), merge)
     found = found.select("__row", "__t", F.when(F.size("spans") > 1, merged).otherwise(F.col("spans")).alias("merged"))
 
-    def piece(s, i):
-        before = F.when(i > 0, F.get(F.col("merged"), i - 1)["end"]).otherwise(0)
-        return F.concat(F.substring("__t", before + 1, s["start"] - before), F.get(tags, s["kind"]))
+    def pieces(spans_):
+        def piece(s, i):
+            before = F.when(i > 0, F.get(spans_, i - 1)["end"]).otherwise(0)
+            return F.concat(F.substring("__t", before + 1, s["start"] - before), F.get(tags, s["kind"]))
+
+        return F.array_join(F.transform(spans_, piece), "")
 
     tail = F.substring("__t", F.try_element_at("merged", F.lit(-1))["end"] + 1, F.length("__t"))
-    new = F.when(F.size("merged") > 0, F.concat(F.array_join(F.transform("merged", piece), ""), tail)).otherwise(F.col(f"__row.`{text}`"))
+    new = F.when(F.size("merged") > 0, F.concat(_let(F.col("merged"), pieces), tail)).otherwise(F.col(f"__row.`{text}`"))
     found = found.select("__row", new.alias("__new"))
     kinds = {f.name: f.dataType for f in docs.schema}
     return found.select(*(F.col("__new").alias(c) if c == text else F.coalesce(F.length("__new").cast(kinds[c]), F.col(f"__row.`{c}`")).alias(c) if c == "n_chars" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
