@@ -29,14 +29,14 @@ def _rows(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     return out.select(*keys, "__i", "__a", "__b", one.alias("__h"))
 
 
-def _sums(rows: DataFrame, keys: list[str], **more: Column) -> DataFrame:
-    """keys, v (the vector) and more aggregates."""
+def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and v, the vector."""
     rows = rows.withColumn("__g", F.xxhash64("__h", F.lit(7)))
     exact = [F.sum(F.when(F.col("__i") == 0, F.xxhash64("__a", "__b", F.lit(k)).bitwiseAND(_WRAP - 1))).alias(f"__e{k}") for k in range(EXACT)]
     bits = [F.sum(F.shiftright(h, j).bitwiseAND(_MASK)).alias(f"__s{k}_{j}") for k, h in enumerate(("__h", "__g")[:HASHES]) for j in range(LONGS)]
-    out = rows.groupBy(*keys).agg(*exact, F.count(F.lit(1)).alias("__n"), *bits, *(c.alias(k) for k, c in more.items()))
+    out = rows.groupBy(*keys).agg(*exact, F.count(F.lit(1)).alias("__n"), *bits)
     lanes = [F.pmod(F.col(f"__e{k}"), F.lit(_WRAP)) for k in range(EXACT)] + [F.col("__n")] + [F.col(f"__s{k}_{j}") for k in range(HASHES) for j in range(LONGS)]
-    return out.select(*keys, F.array(*lanes).alias("v"), *more)
+    return out.select(*keys, F.array(*lanes).alias("v"))
 
 
 def vectors(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -113,8 +113,8 @@ def report(docs: DataFrame) -> DataFrame:
     meta = F.struct("doc_id", "n", "ghost", F.sha2("edited", 256).alias("sha"))
     forms = F.array(*(F.struct(F.lit(k).alias("form"), t.alias("t"), F.when(F.lit(k == 2), meta).alias("meta")) for k, t in enumerate((F.col("text"), F.col("edited"), F.lit("")))))
     each = rows.select("bucket", "rn", F.explode(forms).alias("__f")).select("bucket", "rn", "__f.form", "__f.t", "__f.meta").where("t is not null")
-    keys = ["bucket", "rn", "form"]
-    sums = _sums(_rows(each, [*keys, "meta"], F.col("t")), keys, meta=F.first("meta"))
+    keys = ["bucket", "rn", "form", "meta"]  # meta is a key so that all aggregates are sums, which need no sort
+    sums = _sums(_rows(each, keys, F.col("t")), keys)
     of = {form: F.max(F.when(F.col("form") == form, F.col(column))) for form, column in ((0, "v"), (1, "v"))}
     # max() of a struct with nulls would compare its fields, so the only row that has one is taken by first()
     both = sums.groupBy("bucket", "rn").agg(of[0].alias("v"), of[1].alias("e"), F.first(F.when(F.col("form") == 2, F.col("meta")), ignorenulls=True).alias("meta"))
