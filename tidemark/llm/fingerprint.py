@@ -77,17 +77,17 @@ def likeness(v: Column, w: Column, sv: Column, sw: Column) -> Column:
     return F.when(v == w, F.lit(1.0)).otherwise(cosine)
 
 
-def with_next(docs: DataFrame, id_col: str, text: str, buckets: int) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text: str, partitions: int) -> DataFrame:
     """Adds bucket, rn (place in the bucket), ghost and next (the next text by ascending id; after the last comes the first).
 
     Rows go to buckets of id ranges, one shuffle in all. A bucket's first row also goes, as a ghost, to the end of the bucket before.
-    Rows with a null id come first; rows of one id are in the order of their texts' hashes.
+    Rows with a null id come first; rows of one id are in the order of their texts' hashes. There are four buckets to a partition, so that
+    partitions get about as many rows each.
     """
+    buckets = 4 * partitions
     k = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    low, cuts = docs.agg(F.min(k), F.percentile_approx(k, [i / buckets for i in range(1, buckets)] or [0.5], 10_000)).first()
+    low, cuts = docs.agg(F.min(k), F.percentile_approx(k, [i / buckets for i in range(1, buckets)], 10_000)).first()
     bounds = sorted({low, *(cuts or [])} - {None})
-    if buckets == 1:
-        bounds = bounds[:1]
     held = F.array(*(F.lit(b).cast("bigint") for b in bounds)) if bounds else F.array().cast("array<bigint>")
     df = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("text"), k.alias("__k"))
     df = df.withColumn("bucket", F.size(F.filter(held, lambda b: b <= F.col("__k"))) - 1)
@@ -96,7 +96,7 @@ def with_next(docs: DataFrame, id_col: str, text: str, buckets: int) -> DataFram
     places = F.when(F.array_contains(held, F.col("__k")), F.array(home, before)).otherwise(F.array(home))
     dealt = df.select(id_col, "text", "__k", F.explode(places).alias("__x")).select(id_col, "text", "__k", F.xxhash64("text").alias("__h"), "__x.*")
     w = Window.partitionBy("bucket").orderBy("wrap", "__k", "ghost", "__h")
-    return dealt.repartition(buckets, "bucket").select(id_col, "text", "bucket", "ghost", F.lead("text").over(w).alias("next"), F.row_number().over(w).alias("rn"))
+    return dealt.repartition(partitions, "bucket").select(id_col, "text", "bucket", "ghost", F.lead("text").over(w).alias("next"), F.row_number().over(w).alias("rn"))
 
 
 def report(docs: DataFrame) -> DataFrame:
