@@ -202,7 +202,7 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
+def identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """The rows of docs, with all their columns, whose text is in a learnt language, told with a score of min_score at least.
 
     Learnt from all rows with a language; where no row has one, every row with a letter stays.
