@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans.queries import QUERIES, SQL
+from tidemark.plans.registry import QUERIES, SQL
 
 
 @pytest.fixture(scope="session")
