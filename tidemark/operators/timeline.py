@@ -58,3 +58,9 @@ def carried(acts: DataFrame, column: str) -> DataFrame:
     """The latest value of the column that isn't null, carried forward along each user's activities."""
     w = Window.partitionBy("user_id").orderBy("start_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
     return acts.withColumn("carried", F.last(column, ignorenulls=True).over(w))
+
+
+def around(acts: DataFrame, t_ms: int, minutes: int) -> DataFrame:
+    """Activities within so many minutes of a time, but of its day only."""
+    day = t_ms // DAY_MS * DAY_MS
+    return overlapping(acts, max(day, t_ms - minutes * 60_000), min(day + DAY_MS - 1, t_ms + minutes * 60_000))
