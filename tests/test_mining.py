@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels
-from tidemark.operators import exclusions, ledger, profile, timeline
+from tidemark.operators import exclusions, ledger, membership, profile, timeline
 
 ACTS = "id int, user_id int, app string, title string, start_ms bigint, end_ms bigint"
 
@@ -65,3 +65,21 @@ def test_labels(spark):
         labels.signature_text(c("none"), c("blank"), F.lit("x")), labels.viewed_label(c("blank"), c("none"), F.lit("app")),
     ).first()
     assert tuple(got) == ("1h 2m 3s", "0s", ["a", "bc"], [], "x", "Viewed app")
+
+
+def test_arms(spark):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "k int") for xs in ([1, 1, 2, None], [2, 3, 3]))
+    assert sorted((r.k or 0, r.side) for r in membership.differing(a, b, ["k"]).collect()) == [(0, "a"), (1, "a"), (3, "b")]
+    members = spark.createDataFrame([("x", 1), ("x", 1), ("x", 2), ("y", 2), ("y", 5)], "g string, k int")
+    rows = spark.createDataFrame([(1, 10), (2, None)], "k int, v int")
+    assert [tuple(r) for r in membership.resolved_totals(members, rows, "g", "k", "v").collect()] == [("x", 10)]
+    both = spark.createDataFrame([(1, -5.0, False), (2, None, True), (3, 0.05, None), (4, None, None)], "k int, change double, f boolean")
+    assert [r.k for r in membership.review_first(both, F.col("f"), 0.1).collect()] == [1, 2]
+
+
+def test_hosts_and_apps(spark):
+    hosts = spark.createDataFrame([("a",), ("b",), ("b",), ("",), (None,), ("x",)], "host string")
+    assert [tuple(r) for r in profile.host_counts(hosts, ["x"]).collect()] == [("b", 2), ("a", 1)]
+    assert profile.host_counts(hosts, []).count() == 3
+    apps = spark.createDataFrame([(["br", "", "ed", "ed", None],), (["br"],), ([],)], "apps array<string>")
+    assert [r[0] for r in apps.coalesce(1).select(labels.run_apps(F.col("apps"), ["br"])).collect()] == [["ed"], ["br"], []]

@@ -30,3 +30,10 @@ def signature_text(*columns: Column) -> Column:
 def viewed_label(title: Column, host: Column, app: Column) -> Column:
     """What a view without input is called: by its title, else its host, else its app."""
     return F.concat(F.lit("Viewed "), F.coalesce(F.nullif(F.trim(title), F.lit("")), F.nullif(F.trim(host), F.lit("")), app))
+
+
+def run_apps(apps: Column, browsers: list[str]) -> Column:
+    """The apps of a run, each once and none empty; browsers only where there is nothing else."""
+    named = F.array_distinct(F.filter(apps, lambda a: a != ""))
+    others = F.filter(named, lambda a: ~a.isin(browsers))
+    return F.when(F.size(others) > 0, others).otherwise(named)

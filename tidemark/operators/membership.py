@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,22 @@ def arms(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Both arms of a comparison by key; a key of one arm only has a null in the other and no difference."""
     left, right = a.select(key, F.col(value).alias("a")), b.select(key, F.col(value).alias("b"))
     return left.join(right, key, "full_outer").select(key, "a", "b", (F.col("b") - F.col("a")).alias("change"))
+
+
+def differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, side): what only one of the two arms has, each once; a null key is a value like any other."""
+    both = a.select(*keys, F.lit(1).alias("s")).unionByName(b.select(*keys, F.lit(2).alias("s")))
+    found = both.groupBy(*keys).agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo = hi")
+    return found.select(*keys, F.when(F.col("lo") == 1, "a").otherwise("b").alias("side"))
+
+
+def resolved_totals(members: DataFrame, rows: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """(group, total): sums over the groups all of whose members have a row; a group with any that has none is left out."""
+    found = members.select(group, key).distinct().join(rows.select(key, value, F.lit(True).alias("__found")), key, "left")
+    sums = found.groupBy(group).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"), F.count("__found").alias("seen"))
+    return sums.where("n = seen").select(group, "total")
+
+
+def review_first(compared: DataFrame, flagged: Column, floor: float) -> DataFrame:
+    """The rows of two arms (see `arms`) that are flagged or changed by at least the floor, the largest changes first."""
+    return compared.where(F.coalesce(flagged, F.lit(False)) | (F.abs("change") >= floor)).orderBy(F.desc_nulls_last(F.abs("change")))

@@ -102,3 +102,15 @@ def attached(vectors: DataFrame, centroids: dict[int, list[float]], floor: float
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, mask=~near), pa.array(sims, mask=~fit)], ["vec_id", "centroid", "sim"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, centroid bigint, sim double")
+
+
+def host_counts(visits: DataFrame, left_out: list[str], most: int = 200) -> DataFrame:
+    """(host, n): the commonest hosts; null and empty ones do not count, nor those left out."""
+    hosts = visits.where((F.col("host") != "") & ~F.col("host").isin(left_out)) if left_out else visits.where("host <> ''")
+    return hosts.groupBy("host").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "host").limit(most)
+
+
+def recent_sample(acts: DataFrame, keys: list[str], most: int = 15, detailed: int = 5) -> DataFrame:
+    """The latest activities of each key, and whether one is among the first few, which are shown in detail."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("start_ms"), F.desc("id")))
+    return acts.withColumn("place", place).where(F.col("place") <= most).withColumn("detailed", F.col("place") <= detailed)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import mentions
+
 DAY_MS = 86_400_000
 
 
@@ -64,3 +66,9 @@ def around(acts: DataFrame, t_ms: int, minutes: int) -> DataFrame:
     """Activities within so many minutes of a time, but of its day only."""
     day = t_ms // DAY_MS * DAY_MS
     return overlapping(acts, max(day, t_ms - minutes * 60_000), min(day + DAY_MS - 1, t_ms + minutes * 60_000))
+
+
+def audited(acts: DataFrame, app: str | None = None, text: str | None = None) -> DataFrame:
+    """Activities of exactly this app whose app or title has the text in it, whatever the case; what is not given does not filter."""
+    out = acts if app is None else acts.where(F.col("app") == app)
+    return out if not text else out.where(mentions(text, F.col("app"), F.col("title")))

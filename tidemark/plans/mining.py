@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import labels
-from tidemark.operators import exclusions, ledger, profile, timeline
+from tidemark.functions import labels, web
+from tidemark.operators import exclusions, ledger, membership, profile, timeline
 from tidemark.plans.queries import _ACTS, JAN_10, NOW, _acts
 from tidemark.sources.tables import table
 
@@ -100,6 +100,39 @@ def viewed_labels(spark: SparkSession, d: str) -> DataFrame:
     return short.select("id", labels.viewed_label(F.when(F.col("id") % 3 > 0, F.col("title")), F.lit(" "), F.col("app")).alias("label"))
 
 
+def arm_differences(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag")
+    return membership.differing(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), ["l_suppkey", "l_partkey"])
+
+
+def resolved_totals(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    found = membership.resolved_totals(table(spark, d, "lineitem"), orders, "l_partkey", "l_orderkey", "o_totalprice")
+    return found.select("l_partkey", F.round("total", 2).alias("total"))
+
+
+def review_order(spark: SparkSession, d: str) -> DataFrame:
+    side = lambda app: _acts(spark, d).where(F.col("app") == app).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return membership.review_first(membership.arms(side("view"), side("purchase"), "user_id", "n"), F.col("a") > 100, 3).select("user_id", "change")
+
+
+def common_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return profile.host_counts(table(spark, d, "pages").select(web.host(F.col("url")).alias("host")), ["localhost"])
+
+
+def recent_sample(spark: SparkSession, d: str) -> DataFrame:
+    return profile.recent_sample(_acts(spark, d), ["user_id"]).select("id", "place", "detailed")
+
+
+def audit_rows(spark: SparkSession, d: str) -> DataFrame:
+    return timeline.audited(_acts(spark, d), "click", "7").select("id", "title")
+
+
+def day_apps(spark: SparkSession, d: str) -> DataFrame:
+    runs = _acts(spark, d).groupBy("user_id", timeline.day_of(F.col("start_ms")).alias("day")).agg(F.array_sort(F.collect_set("app")).alias("apps"))
+    return runs.select("user_id", "day", F.array_join(labels.run_apps(F.col("apps"), ["click", "view"]), "|").alias("apps"))
+
+
 _N = "(end_ms - start_ms) * 20 // 1000"
 _DOT = "list_sum([CAST(e.embedding[i] AS DOUBLE) * CAST(c.e[i] AS DOUBLE) FOR i IN range(1, len(c.e) + 1)])"
 
@@ -122,5 +155,12 @@ SQL = {
     "document_steps": r"WITH s AS (SELECT doc_id, list_filter([substring(regexp_replace(x, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), 1, 200) FOR x IN string_split(coalesce(text, ''), '.')], lambda x: x <> '')[1:15] AS s FROM documents) SELECT doc_id, len(s) AS n, md5(coalesce(array_to_string(s, '|'), '')) AS steps_md5 FROM s",
     "part_signatures": "SELECT p_partkey, concat_ws('. ', nullif(trim(p_name), ''), nullif(trim(p_type), '')) AS signature FROM part",
     "viewed_labels": f"WITH {_ACTS} SELECT id, 'Viewed ' || coalesce(nullif(trim(CASE WHEN id % 3 > 0 THEN title END), ''), app) AS label FROM acts WHERE app = 'view' AND end_ms - start_ms < 60000",
+    "arm_differences": "WITH r AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'), a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A') SELECT *, 'a' AS side FROM (SELECT * FROM r EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'b' FROM (SELECT * FROM a EXCEPT SELECT * FROM r)",
+    "resolved_totals": "WITH m AS (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem), o AS (SELECT * FROM orders WHERE o_orderstatus <> 'P') SELECT l_partkey, round(sum(o_totalprice), 2) AS total FROM m LEFT JOIN o ON o_orderkey = l_orderkey GROUP BY l_partkey HAVING count(*) = count(o_orderkey)",
+    "review_order": f"WITH {_ACTS}, s AS (SELECT user_id, nullif(count(*) FILTER (app = 'view'), 0) AS a, nullif(count(*) FILTER (app = 'purchase'), 0) AS b FROM acts GROUP BY user_id) SELECT user_id, b - a AS change FROM s WHERE a > 100 OR abs(b - a) >= 3",
+    "common_hosts": r"WITH h AS (SELECT regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)', 1)), '^www\.', '') AS host FROM pages) SELECT host, count(*) AS n FROM h WHERE host NOT IN ('', 'localhost') GROUP BY host ORDER BY n DESC, host LIMIT 200",
+    "recent_sample": f"WITH {_ACTS}, p AS (SELECT id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY start_ms DESC, id DESC) AS INT) AS place FROM acts) SELECT id, place, place <= 5 AS detailed FROM p WHERE place <= 15",
+    "audit_rows": f"WITH {_ACTS} SELECT id, title FROM acts WHERE app = 'click' AND contains(title, '7')",
+    "day_apps": f"WITH {_ACTS}, s AS (SELECT user_id, start_ms // 86400000 AS day, list_sort(list(DISTINCT app)) AS apps FROM acts GROUP BY ALL), o AS (SELECT *, list_filter(apps, lambda x: x NOT IN ('click', 'view')) AS others FROM s) SELECT user_id, day, array_to_string(CASE WHEN len(others) > 0 THEN others ELSE apps END, '|') AS apps FROM o",
 }
 QUERIES = {name: globals()[name] for name in SQL}
