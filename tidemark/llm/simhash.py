@@ -4,6 +4,9 @@ A 64-bit fingerprint has two halves of 31 bits (two bits are left to the final c
 bits, one half has at most 1. The anchors of a half are the words of the perfect Hamming(31, 26) code: its covering radius is 1, so every
 half has exactly one nearest anchor, and a half one bit away lies within radius + threshold = 2 of that same anchor. Each fingerprint is
 replicated to the anchors within 2 (16 at most) and is compared, per anchor, with the fingerprints whose nearest anchor it is.
+
+The pipeline's stage (deduplicated) takes five words and a similarity of 0.8, which no few differing bits tell: its candidates come from bands
+of minima and are confirmed by the sets of shingles.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_limits, chunks, cut, texts_of
+from tidemark.llm.common import arrow_limits, chunks, cut, mix, texts_of
 from tidemark.llm.components import components
 
 BITS, THRESHOLD, SEED = 31, 3, 42
@@ -198,12 +201,101 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is their component's name: one document of each group stays.
+#: Signatures of the stage: BANDS groups of ROWS minima. Texts of similarity 0.8 share no group with a probability of 7e-5.
+BANDS, ROWS = 24, 5
+_MINIMA = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signatures(hashes: list[np.ndarray]) -> np.ndarray:
+    """(text, band): a hash of ROWS minima of the shingle hashes of each text, none of which is empty."""
+    all_, starts = np.concatenate(hashes), np.cumsum([0, *(len(x) for x in hashes[:-1])])
+    out = np.zeros((len(hashes), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(BANDS * ROWS):
+            least = np.minimum.reduceat((all_ ^ _MINIMA[0, k]) * _MINIMA[1, k], starts)
+            out[:, k // ROWS] = mix(out[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(k))
+    return out
+
+
+def shingle_sets(rows: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
+    """(__uid, __id, th, key, n, bands, shingles): hashes of the text and of its set of shingles, the set's signature, and the set itself (sorted, 32 bits each)."""
+    arrow_limits(rows.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch.column(2))
+            for lo, hi in chunks(texts, 2 << 20):
+                hashes = [np.unique(np.array(shingle_hashes(x, width), np.uint64)) for x in texts[lo:hi]]
+                full = [i for i, x in enumerate(hashes) if len(x)]
+                bands = [[] for _ in hashes]
+                if full:
+                    for i, row in zip(full, signatures([hashes[i] for i in full]).view(np.int64), strict=True):
+                        bands[i] = row
+                sets = [np.unique((x >> np.uint64(32)).astype("<u4")) for x in hashes]
+                key = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in hashes], np.uint64).view(np.int64)
+                th = np.array([xxhash.xxh64_intdigest(x, SEED) for x in texts[lo:hi]], np.uint64).view(np.int64)
+                arrays = [th, key, np.array([len(x) for x in sets], np.int64), pa.array(bands, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())]
+                arrays = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(x if isinstance(x, pa.Array) else pa.array(x) for x in arrays)]
+                yield pa.RecordBatch.from_arrays(arrays, ["__uid", "__id", "th", "key", "n", "bands", "shingles"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select("__uid", id_col, text).mapInArrow(run, f"__uid bigint, __id {kind}, th bigint, key bigint, n bigint, bands array<bigint>, shingles binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles have a Jaccard similarity of `least` at least."""
+    arrow_limits(pairs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    first, second = (sets.select(F.col("__uid").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "uv")
+    return pairs.join(first, "u").join(second, "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u bigint, v bigint")
+
 
-    Of several rows with that same id and text one stays. Rows without an id stay.
+def similar(sets: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
+    """(u, component): what links of similarity `least` connect; every vertex but the smallest of each component.
+
+    Vertices that share a band are candidates. First each is compared with the smallest of its band; then, in bands that still lie in several
+    components, every pair whose ends lie in different ones. So each candidate pair is compared unless its ends are connected already.
+    """
+    spread = vertices.select("__uid", "n", F.explode("bands").alias("band"))
+    first = spread.groupBy("band").agg(F.min(F.struct("__uid", "n")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    bands = cut(spread.join(first, "band").select("band", "__uid", "n", "f"), "bands")
+    close = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
+    stars = bands.where((F.col("__uid") != F.col("f.__uid")) & close(F.col("n"), F.col("f.n"))).select(F.col("f.__uid").alias("u"), F.col("__uid").alias("v")).distinct()
+    stars = cut(stars, "stars")
+    links_ = cut(confirmed(stars, sets, least), "links")
+    found = components(links_)
+    named = bands.select("band", "__uid", "n").join(found.select(F.col("u").alias("__uid"), "component"), "__uid", "left")
+    named = named.select("band", "__uid", "n", F.coalesce("component", "__uid").alias("c"))
+    mixed = named.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("band")
+    open_ = cut(named.join(mixed, "band"), "open")
+    left, right = open_.select("band", F.col("__uid").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u")), open_.select("band", F.col("__uid").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"))
+    rest = left.join(right, "band").where((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & close(F.col("n_u"), F.col("n_v"))).select("u", "v").distinct()
+    more = confirmed(cut(rest.join(stars, ["u", "v"], "left_anti"), "rest"), sets, least)
+    return components(links_.unionByName(more))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, without near copies: one row of each group stays, that of the smallest id.
+
+    Texts are linked if their sets of runs of `width` words have a Jaccard similarity of `least` at least, by the sets themselves; texts with
+    the same set are one vertex. Candidates are found by bands of minima. Of several rows with one id and text one stays. Rows without an id
+    stay and link nothing.
     """
-    found = near_duplicates(docs, id_col, text, width)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").select(*docs.columns)
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = cut(docs.withColumn("__uid", F.monotonically_increasing_id()), "rows")
+    sets = cut(shingle_sets(rows.where(F.col(id_col).isNotNull()), id_col, text, width), "sets")
+    one = F.min(F.struct("__id", "th", "__uid", "n", "bands")).alias("r")
+    vertices = cut(sets.groupBy("key").agg(one).select("r.*"), "vertices")
+    found = similar(sets, vertices, least).withColumnRenamed("u", "__uid")
+    named = vertices.select("__uid", "__id", "th").join(found, "__uid", "left")
+    keep = named.groupBy(F.coalesce("component", "__uid").alias("c")).agg(F.min(F.struct("__id", "th", "__uid")).alias("r")).select("r.__uid")
+    kept = rows.where(F.col(id_col).isNotNull()).join(keep, "__uid", "left_semi").select(*docs.columns)
+    return kept.unionByName(rows.where(F.col(id_col).isNull()).select(*docs.columns))
