@@ -2,12 +2,16 @@
 
 A text is the mean of the weights of its hashed letter n-grams, so every classifier is linear and a text of any length is one pass over its
 bytes. The classifiers of both levels are fitted in numpy on a bounded sample of the labelled documents; all documents are scored in Spark.
+
+A duel always has a winner. Whether a text is in the winner's language at all is told apart from the duels, by the mean log likelihood of its
+n-grams in that language, against what texts with that label have.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,7 @@ FAMILIES = {
     "uralic": ("fi", "et", "hu"),
 }
 DIMS = 4096
+DRIFT, ENOUGH = 0.05, 20
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -80,6 +85,43 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 15) -> np.n
     return w
 
 
+@dataclass
+class Likelihood:
+    """Of one language: log frequency of each n-gram, mean and variance of that over its n-grams, and the least standard value of a text."""
+
+    logs: np.ndarray
+    mean: float
+    variance: float
+    least: float = -np.inf
+
+    def standard(self, found: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Texts' mean log frequencies as differences from the language's mean, by what n n-grams let expect and DRIFT between texts."""
+        return (found - self.mean) / np.sqrt(self.variance / np.maximum(n, 1) + DRIFT**2)
+
+
+def likelihoods(langs: list[str], x: np.ndarray, n: np.ndarray) -> dict[str, Likelihood]:
+    """Frequencies from one half of each language's texts, and `least` from the other.
+
+    Of its standard values, `least` is as far under the percentile as that is under the median, so the rare wrong labels don't set it. A
+    language with under ENOUGH texts in that half takes the lowest `least` of those that have them.
+    """
+    half = np.array([crc32(row.astype(np.float32).tobytes()) & 1 for row in x], bool)
+    out, sure = {}, []
+    for code in sorted(set(langs)):
+        own = np.array([y == code for y in langs])
+        first, second = (own & half, own & ~half) if (own & half).any() and (own & ~half).any() else (own, own)
+        p = x[first].mean(0) + 1e-5
+        logs = np.log(p / p.sum())
+        mean = float(p @ logs / p.sum())
+        out[code] = Likelihood(logs.astype(np.float32), mean, float(p @ logs**2 / p.sum()) - mean**2)
+        low, mid = np.quantile(out[code].standard(x[second] @ logs, n[second]), [0.01, 0.5])
+        out[code].least = float(2 * low - mid)
+        sure += [code] * (int(second.sum()) >= ENOUGH)
+    for code in set(out) - set(sure):
+        out[code].least = min([out[code].least, *(out[k].least for k in sure)])
+    return out
+
+
 @dataclass
 class Model:
     """Families of languages; weights has a column for each pair of families, then for each pair of languages of one family."""
@@ -88,6 +130,7 @@ class Model:
     duels: list[tuple[int, int, int]]  # family or -1 for the level of families, and the two contestants
     weights: np.ndarray
     bias: np.ndarray
+    likely: dict[str, Likelihood] = field(default_factory=dict)
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         h, starts = grams(texts)
@@ -109,6 +152,16 @@ class Model:
             lang[own], score[own] = np.array(names, object)[best], score[own] * s
         return lang.tolist(), score
 
+    def familiar(self, texts: list[bytes], langs: list[str]) -> np.ndarray:
+        """Whether each text's n-grams are as likely in its language as those of texts with that label."""
+        h, starts = grams(texts)
+        out = np.ones(len(texts), bool)
+        for i, code in enumerate(langs):
+            if code in self.likely:
+                own, k = h[starts[i] : starts[i + 1]], self.likely[code]
+                out[i] = len(own) > 0 and k.standard(k.logs[own].mean(dtype=np.float64), len(own)) >= k.least
+        return out
+
     def _won(self, p: np.ndarray, level: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         sums = np.zeros((len(p), n))
         for k, (f, a, b) in enumerate(self.duels):
@@ -142,10 +195,10 @@ def fit(langs: list[str], x: np.ndarray, families: dict[str, tuple[str, ...]] |
     return Model(levels, duels, (w[:, :-1] * scale).T.astype(np.float32), w[:, -1].copy())
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column | None = None, per_lang: int = 400) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column | None = None, per_lang: int = 400, reject: bool = False) -> Model:
     """Fits on about `per_lang` labelled texts of each language, taken by a hash of the row; rows with a null text or language teach nothing.
 
-    `per_lang` bounds the sample that the driver gets: a vector of DIMS frequencies for each text, at most 2 * per_lang for each language.
+    With `reject` the model also learns which texts are in none of its languages. `per_lang` bounds the sample that the driver gets: a vector of DIMS frequencies for each text, at most 2 * per_lang for each language.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -160,20 +213,27 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
 
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, sizes = [], []
             for x in texts_of(batch.column(1)):
                 h, _ = grams([x])
                 rows.append((np.bincount(h, minlength=DIMS) / max(1, len(h))).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["lang", "x"])
+                sizes.append(len(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array(sizes, pa.int64())], ["lang", "x", "n"])
 
-    rows = sample.mapInArrow(run, "lang string, x binary").collect()
+    rows = sample.mapInArrow(run, "lang string, x binary, n bigint").collect()
     if not rows:
         return Model([[sorted(counts)[0]]], [], np.zeros((DIMS, 0), np.float32), np.zeros(0))
-    return fit([r.lang for r in rows], np.stack([np.frombuffer(r.x, np.float32) for r in rows]).astype(np.float64))
+    langs, x = [r.lang for r in rows], np.stack([np.frombuffer(r.x, np.float32) for r in rows]).astype(np.float64)
+    model = fit(langs, x)
+    model.likely = likelihoods(langs, x, np.array([r.n for r in rows])) if reject else {}
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns, lang_pred and score of each row. A null text and one without a letter are `und` with score 0."""
+    """The kept columns, lang_pred and score of each row. A null text and one without a letter are `und` with score 0.
+
+    If the model has learnt to reject, a text in none of its languages is `und` too.
+    """
     spark = docs.sparkSession
     arrow_limits(spark)
     keep = keep if keep is not None else docs.columns
@@ -182,12 +242,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     def run(batches):
         for batch in batches:
             texts = texts_of(batch.column("__text"))
-            langs, scores = [], []
+            langs, scores, known = [], [], []
             for lo, hi in chunks(texts, 1 << 20):
                 a, b = held.value.predict(texts[lo:hi])
                 langs += a
                 scores.append(b)
-            ok = [has_letter(x) for x in texts]
+                known += held.value.familiar(texts[lo:hi], a).tolist() if held.value.likely else [True] * len(a)
+            ok = [x and has_letter(y) for x, y in zip(known, texts, strict=True)]
             score = np.where(ok, np.concatenate(scores), 0.0) if scores else np.zeros(0)
             yield with_columns(batch, keep, {"lang_pred": pa.array([x if y else UNKNOWN for x, y in zip(langs, ok, strict=True)], pa.string()), "score": pa.array(score)})
 
@@ -205,9 +266,10 @@ def report(docs: DataFrame) -> DataFrame:
 def identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """The rows of docs, with all their columns, whose text is in a learnt language, told with a score of min_score at least.
 
-    Learnt from all rows with a language; where no row has one, every row with a letter stays.
+    A text whose n-grams are unlikely in the language that won goes, whatever its score. Learnt from all rows with a language; where no row has one, every row with a letter stays.
     """
-    model = train(docs)
+    model = train(docs, reject=True)
     found = identify(docs.withColumnsRenamed({x: f"__{i}" for i, x in enumerate(docs.columns)}), model, text=f"__{docs.columns.index('text')}")
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score) if model.duels else F.col("score") > 0)
+    told = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
+    kept = found.where(told if model.duels or model.likely else F.col("score") > 0)
     return kept.select(*(F.col(f"__{i}").alias(x) for i, x in enumerate(docs.columns)))
