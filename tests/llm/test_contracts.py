@@ -287,14 +287,6 @@ def test_passages(docs, odd, empty, spark):
     assert passages.report(odd).count() == odd.count() and passages.report(empty).count() == 0
 
 
-def test_passage_log_compacts(docs):
-    log = passages.FingerprintLog(fanout=2)
-    keyed = passages._keyed(docs, "doc_id", "text")
-    for low, high in ((0, 50), (50, 100), (100, 150)):
-        log.add(keyed.where(f"id >= {low} and id < {high}"), low - 1)
-    assert [level for level, _ in log.runs] == [1, 0]
-
-
 def test_licenses(spark, docs, odd, empty):
     files = spark.createDataFrame(
         [("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/x.txt", "nothing here"), ("a/b/c/y.txt", "Hello.\nReleased under the MIT License.\n"), ("z.txt", "This license of ours is the moon"), (None, "x"), ("a/q.txt", None)],

@@ -36,16 +36,51 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def cut(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Writes df once as a table in the shared folder and reads it back: lineage ends there, so a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    return written(df, f"{shared_dir(df.sparkSession)}/{name}", partition_by)
+
+
+def written(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+    """Writes df to path and reads it back."""
+    spark = df.sparkSession
+    reset = _kept_shuffles(spark)
     try:
         df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        reset()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _kept_shuffles(spark: SparkSession):
+    """Lets Spark delete a write's shuffle files when the write ends; returns what sets the session back."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    return lambda: spark.conf.set(_CLEANUP, before)
+
+
+def bucketed(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Writes df to path, dealt by a hash of the keys into one sorted file a bucket, and reads it back: joins on the keys don't shuffle it again."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, reset = f"tidemark_{uuid.uuid4().hex}", _kept_shuffles(spark)
+    try:
+        rows = df.repartition(n, *keys).sortWithinPartitions(*keys)
+        rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    finally:
+        reset()
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return read_bucketed(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), keys, n)
+
+
+def read_bucketed(spark: SparkSession, path: str, columns: str, keys: list[str], n: int) -> DataFrame:
+    """What `bucketed` has written into n buckets, in this session or another."""
+    name, by = f"tidemark_{uuid.uuid4().hex}", ", ".join(f"`{k}`" for k in keys)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{path}'")
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Bounds the Arrow batches sent to Python, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
