@@ -6,6 +6,7 @@ on; where the shift is zero, the bucket of the block's hash selects the test str
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -15,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_limits, chunks, texts_of
+from tidemark.llm.common import arrow_limits, chunks, cut, texts_of
 
-#: Test strings are broadcast in blocks of at most so many characters of benchmark text; larger benchmarks take further passes.
+#: Test strings are broadcast in blocks of about so many bytes of benchmark text; larger benchmarks take further passes.
 BLOCK_CHARS = 16 << 20
 _SEP, _END = 0x20, 0x0A
 _JOIN = bytes([_SEP, _END, _SEP])
@@ -163,11 +164,40 @@ _RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 _ADDED = "n_words bigint, hit_ranges array<struct<lo:bigint,hi:bigint>>, items array<bigint>"
 
 
+#: A worker builds the tables of a block once and keeps those of the last block it met.
+_BUILT: dict[str, Patterns] = {}
+
+
+def _built(key: str, held, words: int) -> Patterns:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Patterns(held.value, words)
+    return _BUILT[key]
+
+
+def _blocks(bench: DataFrame, words: int, block_chars: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The benchmark (i, t) in blocks of about block_chars, one at a time on the driver. Long items are dealt in pieces that share words - 1 words."""
+
+    def run(batches):
+        most = max(4 * words, block_chars // 64)
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                w = words_of(t)
+                for lo in range(0, max(1, len(w) - words + 1), most):
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([b" ".join(w[lo : lo + most + words - 1])], pa.binary())], ["i", "t"])
+
+    pieces = bench.mapInArrow(run, "i bigint, t binary")
+    total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(1, -(-total // block_chars))
+    for k in range(n):
+        yield [(r.i, bytes(r.t)) for r in (pieces if n == 1 else pieces.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)).toLocalIterator()]
+
+
 def _scan_block(docs: DataFrame, text: str, items: list[tuple[int, bytes]], words: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)
+    held, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches):
-        patterns = Patterns(held.value, words)
+        patterns = _built(key, held, words)
         for batch in batches:
             texts = texts_of(batch.column(text))
             found = [x for lo, hi in chunks(texts) for x in patterns.scan(texts[lo:hi])]
@@ -201,36 +231,39 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     arrow_limits(spark)
     docs = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
+    hashed = docs.withColumn("__text_hash", F.xxhash64("__text"))
     bench = benchmark.select(F.col(item).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
-    total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    parts = []
-    for k in range(blocks):
-        items = [(r.i, r.t.encode()) for r in bench.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).toLocalIterator()]
-        parts.append(_scan_block(docs if blocks == 1 else docs.withColumn("__text_hash", F.xxhash64("__text")), "__text", items, words))
-    if blocks == 1:
-        out = parts[0]
-    else:  # a row's blocks meet again; equal rows stay as many as they were
-        both = reduce(DataFrame.unionByName, parts).groupBy("__id", "__text_hash", "n_words")
-        out = both.agg(F.count(F.lit(1)).alias("c"), F.array_distinct(F.flatten(F.collect_set("hit_ranges"))).alias("hit_ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        out = out.select("*", F.explode(F.sequence(F.lit(1), (F.col("c") / blocks).cast("int"))))
+    parts: list[DataFrame] = []
+    for items in _blocks(bench, words, block_chars):  # with several, each search ends in a table before the next block is fetched
+        if parts and len(parts) == 1:
+            parts = [cut(parts[0], "block")]
+        found = _scan_block(hashed, "__text", items, words)
+        parts.append(cut(found.where(F.size("items") > 0), "block") if parts else found)
+    blocks = len(parts)
+    out = parts[0]
+    if blocks > 1:  # what later blocks have found joins each row of the same id and text
+        more = reduce(DataFrame.unionByName, parts[1:]).groupBy("__id", "__text_hash").agg(F.flatten(F.collect_set("hit_ranges")).alias("r"), F.flatten(F.collect_set("items")).alias("i"))
+        both = out.join(cut(more, "blocks").withColumnsRenamed({"__id": "__i", "__text_hash": "__h"}), F.col("__id").eqNullSafe(F.col("__i")) & F.col("__text_hash").eqNullSafe(F.col("__h")), "left")
+        all_ = lambda own, other: F.array_sort(F.array_distinct(F.concat(own, F.coalesce(other, F.array()))))
+        out = both.select("__id", "n_words", all_("hit_ranges", "r").alias("hit_ranges"), all_("items", "i").alias("items"))
     return out.select(F.col("__id").alias(id_col), "n_words", _merged(F.col("hit_ranges")).cast("bigint").alias("n_hit"), "hit_ranges", "items")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs (all their columns) whose text holds no window of the benchmark. One pass over each block of the benchmark, no shuffle."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
+    """The rows of docs, with all their columns, whatever their names, whose text holds no window of the benchmark.
+
+    One pass over the documents for each block of the benchmark, no shuffle. A null text has no words and stays; repeated rows stay.
+    """
+    arrow_limits(docs.sparkSession)
     words, block_chars = options.get("words", 10), options.get("block_chars", BLOCK_CHARS)
     bench = benchmark.select(F.col("item_id").cast("bigint").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
-    total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    out = docs
-    for k in range(blocks):
-        items = [(r.i, r.t.encode()) for r in bench.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).toLocalIterator()]
-        seen = _scan_block(out.select(*docs.columns, F.col("text").alias("__text")), "__text", items, words)
-        out = seen.where(F.size("items") == 0).select(*docs.columns)
-    return out
+    names = [f"__{k}" for k in range(len(docs.columns))]
+    out = docs.toDF(*names)
+    for k, items in enumerate(_blocks(bench, words, block_chars)):
+        out = cut(out, "block") if k else out
+        seen = _scan_block(out.select(*names, F.col(names[docs.columns.index("text")]).alias("__text")), "__text", items, words)
+        out = seen.where(F.size("items") == 0).select(*names)
+    return out.toDF(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
