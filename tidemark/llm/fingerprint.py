@@ -90,10 +90,13 @@ def with_next(docs: DataFrame, id_col: str, text: str, partitions: int) -> DataF
     bounds = sorted({low, *(cuts or [])} - {None})
     held = F.array(*(F.lit(b).cast("bigint") for b in bounds)) if bounds else F.array().cast("array<bigint>")
     df = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("text"), k.alias("__k"))
-    df = df.withColumn("bucket", F.size(F.filter(held, lambda b: b <= F.col("__k"))) - 1)
+    steps = F.array(*(F.lit(1 << j) for j in reversed(range(max(1, len(bounds)).bit_length()))))
+    # binary search: how many bounds are at most the id
+    below = F.aggregate(steps, F.lit(0), lambda n, s: F.when(F.coalesce(F.get(held, n + s - 1) <= F.col("__k"), F.lit(False)), n + s).otherwise(n))
+    df = df.withColumn("bucket", below - 1)
     home = F.struct("bucket", F.lit(False).alias("ghost"), F.lit(False).alias("wrap"))
     before = F.struct(F.when(F.col("bucket") > 0, F.col("bucket") - 1).otherwise(len(bounds) - 1).alias("bucket"), F.lit(True).alias("ghost"), (F.col("bucket") == 0).alias("wrap"))
-    places = F.when(F.array_contains(held, F.col("__k")), F.array(home, before)).otherwise(F.array(home))
+    places = F.when(F.get(held, F.col("bucket")) == F.col("__k"), F.array(home, before)).otherwise(F.array(home))
     dealt = df.select(id_col, "text", "__k", F.explode(places).alias("__x")).select(id_col, "text", "__k", F.xxhash64("text").alias("__h"), "__x.*")
     w = Window.partitionBy("bucket").orderBy("wrap", "__k", "ghost", "__h")
     return dealt.repartition(partitions, "bucket").select(id_col, "text", "bucket", "ghost", F.lead("text").over(w).alias("next"), F.row_number().over(w).alias("rn"))
