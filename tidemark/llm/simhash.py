@@ -176,7 +176,9 @@ def links(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
     spread = distinct.select("fp").mapInArrow(_replicated, "anchor bigint, fp bigint, near boolean")
     n = partitions or int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
-    return spread.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compared, "x bigint, y bigint").distinct()
+    out = cut(spread.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compared, "x bigint, y bigint").distinct(), "links")
+    arrow_limits(distinct.sparkSession)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
