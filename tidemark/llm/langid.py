@@ -31,6 +31,8 @@ FAMILIES = {
 }
 DIMS = 4096
 DRIFT, ENOUGH = 0.05, 20
+#: Longer texts (bytes) are counted piece by piece.
+LONG = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -69,6 +71,16 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h.ravel().astype(np.int32), starts
 
 
+def counts_of(text: bytes) -> np.ndarray:
+    """How often each hashed n-gram occurs in a text of any length, taken in pieces that end at a blank (or, for want of one, anywhere)."""
+    out, lo = np.zeros(DIMS, np.int64), 0
+    while lo < len(text):
+        hi = len(text) if len(text) - lo <= LONG else text.rfind(b" ", lo + 1, lo + LONG) + 1 or lo + LONG
+        out += np.bincount(grams([text[lo:hi]])[0], minlength=DIMS)
+        lo = hi
+    return out
+
+
 def has_letter(text: bytes) -> bool:
     return text.upper() != text.lower() or _LETTER.search(text.decode("utf-8", "replace")) is not None
 
@@ -133,11 +145,18 @@ class Model:
     likely: dict[str, Likelihood] = field(default_factory=dict)
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
+        out = np.tile(self.bias, (len(texts), 1))
+        if not len(self.duels):
+            return out
+        if any(len(x) > LONG for x in texts):  # counts times weights, in bounded memory
+            for i, x in enumerate(texts):
+                c = counts_of(x)
+                out[i] += c @ self.weights / max(1, c.sum())
+            return out
         h, starts = grams(texts)
         n = np.diff(starts)
-        out = np.tile(self.bias, (len(texts), 1))
         full = np.flatnonzero(n)
-        if len(full) and len(self.duels):
+        if len(full):
             out[full] += np.add.reduceat(self.weights[h], starts[full], axis=0, dtype=np.float64) / n[full][:, None]
         return out
 
@@ -154,12 +173,19 @@ class Model:
 
     def familiar(self, texts: list[bytes], langs: list[str]) -> np.ndarray:
         """Whether each text's n-grams are as likely in its language as those of texts with that label."""
-        h, starts = grams(texts)
         out = np.ones(len(texts), bool)
+        long = any(len(x) > LONG for x in texts)
+        h, starts = (None, None) if long else grams(texts)
         for i, code in enumerate(langs):
             if code in self.likely:
-                own, k = h[starts[i] : starts[i + 1]], self.likely[code]
-                out[i] = len(own) > 0 and k.standard(k.logs[own].mean(dtype=np.float64), len(own)) >= k.least
+                k = self.likely[code]
+                if long:
+                    c = counts_of(texts[i])
+                    n, mean = int(c.sum()), float(c @ k.logs) / max(1, c.sum())
+                else:
+                    own = h[starts[i] : starts[i + 1]]
+                    n, mean = len(own), k.logs[own].mean(dtype=np.float64) if len(own) else 0.0
+                out[i] = n > 0 and k.standard(mean, n) >= k.least
         return out
 
     def _won(self, p: np.ndarray, level: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,13 +289,13 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in a learnt language, told with a score of min_score at least.
+def identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whatever their names, whose text is in a learnt language.
 
-    A text whose n-grams are unlikely in the language that won goes, whatever its score. Learnt from all rows with a language; where no row has one, every row with a letter stays.
+    A text whose n-grams are unlikely in the language that won goes, and one without a letter; the score of the duels, which says which of the
+    learnt languages is nearest, does not decide. Learnt from all rows with a language; where no row has one, every row with a letter stays.
     """
     model = train(docs, reject=True)
     found = identify(docs.withColumnsRenamed({x: f"__{i}" for i, x in enumerate(docs.columns)}), model, text=f"__{docs.columns.index('text')}")
-    told = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
-    kept = found.where(told if model.duels or model.likely else F.col("score") > 0)
+    kept = found.where(F.col("lang_pred") != UNKNOWN if model.duels or model.likely else F.col("score") > 0)
     return kept.select(*(F.col(f"__{i}").alias(x) for i, x in enumerate(docs.columns)))

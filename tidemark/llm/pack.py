@@ -33,6 +33,8 @@ def _encoder(path: str | None):
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
+    if max(spec["model"]["vocab"].values()) >= 1 << 16:
+        raise ValueError("ids are held in 16 bits: a vocabulary of more than 65,536 entries can't be used")
     return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), special
 
 
