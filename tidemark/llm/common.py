@@ -47,7 +47,16 @@ def written(df: DataFrame, path: str, partition_by: str | None = None) -> DataFr
         df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
     finally:
         reset()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `cut` that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _kept_shuffles(spark: SparkSession):

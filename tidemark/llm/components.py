@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, discard
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = cut(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
-        e = cut(_small_star(_large_star(e)), "stars")
+        last, e = e, cut(_small_star(_large_star(e)), "stars")
+        discard(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select("u", F.col("v").alias("component"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_limits, chunks, cut, mix, texts_of
+from tidemark.llm.common import arrow_limits, chunks, cut, discard, mix, texts_of
 from tidemark.llm.components import components
 
 BITS, THRESHOLD, SEED = 31, 3, 42
@@ -281,8 +281,10 @@ def similar(sets: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
     open_ = cut(named.join(mixed, "band"), "open")
     left, right = open_.select("band", F.col("__uid").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u")), open_.select("band", F.col("__uid").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"))
     rest = left.join(right, "band").where((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & close(F.col("n_u"), F.col("n_v"))).select("u", "v").distinct()
-    more = confirmed(cut(rest.join(stars, ["u", "v"], "left_anti"), "rest"), sets, least)
-    return components(links_.unionByName(more))
+    more = confirmed(rest := cut(rest.join(stars, ["u", "v"], "left_anti"), "rest"), sets, least)
+    out = components(links_.unionByName(more))
+    discard(bands, stars, open_, rest, links_)
+    return out
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
