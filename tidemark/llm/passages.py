@@ -15,10 +15,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RangeHash, arrow_limits, bucketed, chunks, cut, read_bucketed, shared_dir, texts_of, with_columns, written
+from tidemark.llm.common import RangeHash, arrow_limits, bucketed, chunks, cut, discard, read_bucketed, shared_dir, texts_of, with_columns, written
 
 WIDTH, ANCHOR = 20, 6
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -77,12 +77,16 @@ def anchors(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _suspect_windows(docs: DataFrame, width: int) -> DataFrame:
-    """(w1, w2, id, version, pos): the windows of docs (id, version, text, at) whose anchor is one of the words `at`."""
+    """(w1, w2, id, version, pos): the windows of docs (id, version, text, at) whose anchor is one of the words `at`.
+
+    Of equal windows in one piece of the input only the earliest keep their hashes w1 and w2: the others start later than they do, which is all
+    there is to know of them. So a window that very many texts have is few rows to whoever brings equal windows together.
+    """
 
     def run(batches):
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            at = batch.column("at")
+            at, ids = batch.column("at"), batch.column("id").to_numpy(zero_copy_only=False)
             for lo, hi in chunks(texts, _CHUNK):
                 w = _Windows(texts[lo:hi], width)
                 if not len(w.start):
@@ -92,8 +96,15 @@ def _suspect_windows(docs: DataFrame, width: int) -> DataFrame:
                     flagged[w.first[k] + np.asarray(at[lo + i].values)] = True
                 s = w.start[flagged[w.anchor]]
                 own = w.owner[s]
-                row = lo + w.text[own]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, w.digest(s)), _repeat(batch.column("id"), row), _repeat(batch.column("version"), row), pa.array((s - w.first[own]).astype(np.int32))], ["w1", "w2", "id", "version", "pos"])
+                row, pos = lo + w.text[own], s - w.first[own]
+                w1, w2 = w.digest(s)
+                order = np.lexsort((pos, ids[row], w2, w1))
+                o1, o2, oi, op = w1[order], w2[order], ids[row][order], pos[order]
+                first = np.flatnonzero(np.concatenate([[True], (o1[1:] != o1[:-1]) | (o2[1:] != o2[:-1])])) if len(order) else order
+                head = np.repeat(first, np.diff(np.concatenate([first, [len(order)]])))
+                later = np.zeros(len(order), bool)
+                later[order] = (oi != oi[head]) | (op != op[head])
+                yield pa.RecordBatch.from_arrays([pa.array(w1, mask=later), pa.array(w2, mask=later), _repeat(batch.column("id"), row), _repeat(batch.column("version"), row), pa.array(pos.astype(np.int32))], ["w1", "w2", "id", "version", "pos"])
 
     return docs.select("id", "version", "text", "at").mapInArrow(run, "w1 bigint, w2 int, id bigint, version bigint, pos int")
 
@@ -148,8 +159,8 @@ class FingerprintLog:
         """Adds docs (id, version, text) to the index. Their ids are above those added before, of which `above` is the last.
 
         Returns (id, version, at): the words at which a window begins that also begins earlier, for each document with such windows. A hash
-        that very many anchors or windows have is no single task's: counts are combined before they are shuffled, and both joins are with
-        written tables, so that adaptive execution splits their large partitions.
+        that very many anchors have is no single task's: counts are combined before they are shuffled, and the join is with a written table, so that
+        adaptive execution splits its large partitions; equal windows come as few rows (see `_suspect_windows`).
         """
         name = f"texts-{uuid.uuid4().hex}"
         own = bucketed(docs.select("id", "version", "text"), f"{self.path}/{name}", ["id", "version"])
@@ -161,10 +172,12 @@ class FingerprintLog:
         suspects = cut(both.join(again.hint("merge"), "h", "left_semi").groupBy("id", "version").agg(F.collect_list("pos").alias("at")), "suspects")
         parts = [_suspect_windows(self._texts(x, n).join(suspects.hint("merge"), ["id", "version"]), self.width) for x, n in self.texts]
         windows = cut(reduce(DataFrame.unionByName, parts), "windows")
-        first = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("first")).where("n > 1").select("w1", "w2", "first")
-        marked = windows.join(cut(first, "first").hint("merge"), ["w1", "w2"]).where(F.struct("id", "pos") > F.col("first"))
+        same = Window.partitionBy("w1", "w2")
+        earliest = windows.where("w1 is not null").withColumn("first", F.min(F.struct("id", "pos")).over(same)).where(F.struct("id", "pos") > F.col("first"))
+        marked = earliest.select("id", "version", "pos").unionByName(windows.where("w1 is null").select("id", "version", "pos"))
         marked = marked if above is None else marked.where(F.col("id") > above)
         marks = cut(marked.groupBy("id", "version").agg(F.collect_list("pos").alias("at")), "marks")
+        discard(again, suspects, windows)
         self.runs.append((0, run))
         self._compact()
         self._save()
