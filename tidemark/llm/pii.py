@@ -403,7 +403,12 @@ def spans(docs: DataFrame, text: str = "text", model: Boosted | None = None) ->
     found = _with_spans(inner, "__text")
     if model is None:
         planted = _with_spans(docs.sparkSession.createDataFrame([*PLANTED], "__text string, planted int"), "__text")
-        found = cut(found.select("__row", "__t", "base_", "refused", "cands"), "found")
+        where = docs.columns.index(text)
+        names = [f"c{k}" for k in range(len(docs.columns))]
+        flat = found.select(*(F.col("__row")[c].alias(n) for c, n in zip(docs.columns, names, strict=True)), "base_", "refused", "cands")
+        flat = cut(flat, "found")  # the text once
+        row = F.struct(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
+        found = flat.select(row.alias("__row"), F.coalesce(names[where], F.lit("")).alias("__t"), "base_", "refused", "cands")
         half = F.crc32("__t") % 2
         columns = ["base_", "refused", "cands"]
         model = train(found.select(*columns, half.alias("half"), F.lit(None).cast("int").alias("planted")).unionByName(planted.select(*columns, half.alias("half"), "planted")))

@@ -301,5 +301,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     found = similar(sets, vertices, least).withColumnRenamed("u", "__uid")
     named = vertices.select("__uid", "__id", "th").join(found, "__uid", "left")
     keep = named.groupBy(F.coalesce("component", "__uid").alias("c")).agg(F.min(F.struct("__id", "th", "__uid")).alias("r")).select("r.__uid")
+    keep = cut(keep, "keep")
+    discard(sets, vertices)
     kept = rows.where(F.col(id_col).isNotNull()).join(keep, "__uid", "left_semi").select(*docs.columns)
     return kept.unionByName(rows.where(F.col(id_col).isNull()).select(*docs.columns))
