@@ -46,12 +46,13 @@ def durations_by_lead(frames: DataFrame, key: str = "user_id", least_ms: int = 1
 def as_of(left: DataFrame, right: DataFrame, key: str, direction: str = "nearest") -> DataFrame:
     """For each (key, t) of left the latest t of right at or before it, the first at or after it, or the nearer of both (of ties the earlier).
 
-    Both sides are merged in time order within a key, so no pair is formed.
+    Both sides are merged in time order within a key, once in either direction, so no pair is formed and each frame only grows.
     """
     both = left.select(key, "t", F.lit(1).alias("asks")).unionByName(right.select(key, "t", F.lit(0).alias("asks")))
     w = Window.partitionBy(key).orderBy("t")
     own = F.when(F.col("asks") == 0, F.col("t"))
-    rows = both.select(key, "t", "asks", F.max(own).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("before"), F.min(own).over(w.rangeBetween(0, Window.unboundedFollowing)).alias("after")).where("asks = 1")
+    down = Window.partitionBy(key).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0)
+    rows = both.select(key, "t", "asks", F.max(own).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("before"), F.min(own).over(down).alias("after")).where("asks = 1")
     nearer = F.when(F.col("t") - F.col("before") <= F.col("after") - F.col("t"), F.col("before")).otherwise(F.coalesce("after", "before"))
     match = {"backward": F.col("before"), "forward": F.col("after"), "nearest": nearer}[direction]
     return rows.select(key, "t", match.alias("match"))

@@ -57,4 +57,4 @@ def resolved_totals(members: DataFrame, rows: DataFrame, group: str, key: str, v
 
 def review_first(compared: DataFrame, flagged: Column, floor: float) -> DataFrame:
     """The rows of two arms (see `arms`) that are flagged or changed by at least the floor, the largest changes first."""
-    return compared.where(F.coalesce(flagged, F.lit(False)) | (F.abs("change") >= floor)).orderBy(F.desc_nulls_last(F.abs("change")))
+    return compared.where(F.coalesce(flagged, F.lit(False)) | (F.abs("change") >= floor)).orderBy(F.desc_nulls_last(F.abs("change")), compared.columns[0])
