@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
+from tidemark.functions import text, web
 from tidemark.operators import membership, trends
 
 
@@ -36,3 +36,10 @@ def test_texts(spark):
     c = [text.passes_luhn(F.col(x)) for x in ("good", "bad", "none", "missing")]
     got = row.select(*c, text.plain_title(F.col("title")), text.mentions("A", F.col("missing"), F.col("title")), text.pair_key(F.lit(3), F.lit(2))).first()
     assert tuple(got) == (True, False, False, None, "a b", True, "2|3")
+
+
+def test_private_hosts(spark):
+    hosts = ["localhost:80", "127.0.0.1", "10.1.2.3", "10.evil.com", "10.1.2.256", "169.254.1.1", "172.16.0.1", "172.32.0.1", "192.168.1.1:8080", "192.169.1.1", "[::1]", "example.com"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").coalesce(1)
+    got = [r.h for r in rows.where(web.is_private(F.col("h"))).collect()]
+    assert got == ["localhost:80", "127.0.0.1", "10.1.2.3", "169.254.1.1", "172.16.0.1", "192.168.1.1:8080", "[::1]"]
