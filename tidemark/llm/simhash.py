@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_limits, chunks, cut, discard, mix, texts_of
@@ -261,11 +261,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(first, "u").join(second, "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u bigint, v bigint")
 
 
+def rarest_shingles(vertices: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(token, __uid, n, left, typical) for the shingles by which a vertex of (__uid, n) can find similar ones.
+
+    All sets are sorted by how many of the vertices have a shingle, the rarest first; left counts the shingles from this one on. Sets of
+    similarity `least` have a shingle in common among those with left >= least * n. A vertex without any row is similar to none. typical is the
+    mean number of vertices that have a shingle of the set.
+    """
+    arrow_limits(vertices.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            held = [np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()]
+            for lo in range(0, len(held), 100):
+                part = held[lo : lo + 100]
+                at = pa.array(np.repeat(np.arange(lo, lo + len(part)), [len(x) for x in part]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(part).astype(np.int64))], ["__uid", "n", "token"])
+
+    rows = sets.select("__uid", "shingles").join(vertices, "__uid").select("__uid", "n", "shingles")
+    tokens = cut(rows.mapInArrow(run, "__uid bigint, n bigint, token bigint"), "tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    one = Window.partitionBy("__uid")
+    ranked = tokens.join(counts, "token").withColumn("left", F.col("n") + 1 - F.row_number().over(one.orderBy("df", "token"))).withColumn("typical", F.avg("df").over(one))
+    ranked = cut(ranked.where((F.col("df") > 1) & (F.col("left") >= F.lit(least) * F.col("n") - 1e-9)).select("token", "__uid", "n", "left", "typical"), "ranked")
+    discard(tokens)
+    return ranked
+
+
+def sharing(ranked: DataFrame, components_: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) with ends in different components (__uid, c) that can be similar, among them all that are.
+
+    They have one of their rarest shingles in common, and what follows the first such one is long enough to hold all they have to share. So
+    copies that differ too much are no candidates, however many there are and whatever they share further on.
+    """
+    t = F.lit(least)
+    rows = cut(ranked.join(components_, "__uid"), "shared")
+    mixed = rows.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("token")
+    kept = rows.join(mixed, "token")
+    one = kept.select("token", F.col("__uid").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u"), F.col("left").alias("l_u"))
+    two = kept.select("token", F.col("__uid").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"), F.col("left").alias("l_v"))
+    room = F.least("l_u", "l_v") * (1 + t) >= t * (F.col("n_u") + F.col("n_v")) - 1e-9
+    pairs = cut(one.join(two, "token").where((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & room).select("u", "v").distinct(), "pairs")
+    discard(rows)
+    return pairs
+
+
 def similar(sets: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
     """(u, component): what links of similarity `least` connect; every vertex but the smallest of each component.
 
     Vertices that share a band are candidates. First each is compared with the smallest of its band; then, in bands that still lie in several
-    components, every pair whose ends lie in different ones. So each candidate pair is compared unless its ends are connected already.
+    components, with the most typical vertex of its band; then those of different components that `sharing` doesn't rule out are compared.
     """
     spread = vertices.select("__uid", "n", F.explode("bands").alias("band"))
     first = spread.groupBy("band").agg(F.min(F.struct("__uid", "n")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -274,16 +319,22 @@ def similar(sets: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
     stars = bands.where((F.col("__uid") != F.col("f.__uid")) & close(F.col("n"), F.col("f.n"))).select(F.col("f.__uid").alias("u"), F.col("__uid").alias("v")).distinct()
     stars = cut(stars, "stars")
     links_ = cut(confirmed(stars, sets, least), "links")
+    held = lambda rows, found: rows.join(found.select(F.col("u").alias("__uid"), "component"), "__uid", "left").select(*rows.columns, F.coalesce("component", "__uid").alias("c"))
     found = components(links_)
-    named = bands.select("band", "__uid", "n").join(found.select(F.col("u").alias("__uid"), "component"), "__uid", "left")
-    named = named.select("band", "__uid", "n", F.coalesce("component", "__uid").alias("c"))
+    as_links = lambda found: found.select("u", F.col("component").alias("v"))
+    named = held(bands.select("band", "__uid", "n"), found)
     mixed = named.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("band")
     open_ = cut(named.join(mixed, "band"), "open")
-    left, right = open_.select("band", F.col("__uid").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u")), open_.select("band", F.col("__uid").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"))
-    rest = left.join(right, "band").where((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & close(F.col("n_u"), F.col("n_v"))).select("u", "v").distinct()
-    more = confirmed(rest := cut(rest.join(stars, ["u", "v"], "left_anti"), "rest"), sets, least)
-    out = components(links_.unionByName(more))
-    discard(bands, stars, open_, rest, links_)
+    ranked = rarest_shingles(open_.select("__uid", "n").distinct(), sets, least)
+    likely = open_.join(ranked.select("__uid", "typical").distinct(), "__uid")
+    middle = likely.groupBy("band").agg(F.max(F.struct("typical", "__uid", "n", "c")).alias("m"))
+    spokes = likely.join(middle, "band").where((F.col("c") != F.col("m.c")) & close(F.col("n"), F.col("m.n")))
+    spokes = cut(spokes.select(F.least("__uid", "m.__uid").alias("u"), F.greatest("__uid", "m.__uid").alias("v")).distinct(), "spokes")
+    found = components(as_links(found).unionByName(confirmed(spokes, sets, least)))
+    rest = sharing(ranked, held(open_.select("__uid").distinct(), found), least)
+    fresh = cut(rest.join(stars.unionByName(spokes), ["u", "v"], "left_anti"), "fresh")
+    out = components(as_links(found).unionByName(confirmed(fresh, sets, least)))
+    discard(bands, stars, open_, ranked, spokes, rest, fresh, links_)
     return out
 
 
