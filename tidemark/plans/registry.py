@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL."""
 
-from tidemark.plans import mining, queries, reviews
+from tidemark.plans import mining, queries, reviews, stores
 
-QUERIES = {**queries.QUERIES, **reviews.QUERIES, **mining.QUERIES}
-SQL = {**queries.SQL, **reviews.SQL, **mining.SQL}
+QUERIES = {**queries.QUERIES, **reviews.QUERIES, **mining.QUERIES, **stores.QUERIES}
+SQL = {**queries.SQL, **reviews.SQL, **mining.SQL, **stores.SQL}
