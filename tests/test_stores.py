@@ -46,3 +46,10 @@ def test_check_digits(spark):
     every = [checks.passes_tfn, checks.passes_abn, checks.passes_acn, checks.passes_medicare]
     assert tuple(row.select(*(f(F.col(c)) for f, c in zip(every, row.columns))).first()) == (True, True, True, True)
     assert tuple(row.select(*(f(F.col("none")) for f in every)).first()) == (False, False, False, False)
+
+
+def test_new_zealand_numbers(spark):
+    rows = spark.createDataFrame([("49-091-850", "ZZZ0016"), ("136410132", "jbx 3656"), ("9125568", "ZZZ0044"), ("49091851", "ZIZ0016"), ("", ""), (None, None)], "ird string, nhi string").coalesce(1)
+    got = [tuple(r) for r in rows.select(checks.passes_ird(F.col("ird")), checks.passes_nhi(F.col("nhi"))).collect()]
+    assert got[:5] == [(True, True), (True, True), (False, False), (False, False), (False, False)]
+    assert not any(got[5])

@@ -62,7 +62,9 @@ def carried_steps(spark: SparkSession, d: str) -> DataFrame:
 def check_digits(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "orders").select("o_orderkey", F.concat((F.lit(20_000_000_000) + F.col("o_orderkey") * 7919).cast("string"), F.lit("x")).alias("v"))
     last9, first10 = F.substring("v", 3, 9), F.substring("v", 1, 10)
-    return n.select("o_orderkey", checks.passes_tfn(last9).alias("tfn"), checks.passes_abn(F.col("v")).alias("abn"), checks.passes_acn(last9).alias("acn"), checks.passes_medicare(first10).alias("medicare"))
+    ird, nhi = (F.lit(10_000_000) + F.col("o_orderkey") * 37).cast("string"), F.concat(F.lit("abc "), F.lpad((F.col("o_orderkey") % 10_000).cast("string"), 4, "0"))
+    n = n.withColumns({"ird": checks.passes_ird(ird), "nhi": checks.passes_nhi(nhi)})
+    return n.select("o_orderkey", "ird", "nhi", checks.passes_tfn(last9).alias("tfn"), checks.passes_abn(F.col("v")).alias("abn"), checks.passes_acn(last9).alias("acn"), checks.passes_medicare(first10).alias("medicare"))
 
 
 _LEDGER = f"ledger AS (SELECT start_ms // {DAY_MS} AS day, CASE WHEN day % 3 = 0 THEN 'completed' ELSE 'pending' END AS status, count(*) AS attempts, CASE WHEN day % 2 = 0 THEN day * {DAY_MS} END AS next_ms FROM acts GROUP BY ALL)"
@@ -72,6 +74,9 @@ def _sum(text: str, weights: list[int]) -> str:
     return f"list_sum([{', '.join(f'CAST(substr({text}, {i}, 1) AS INT) * {w}' for i, w in enumerate(weights, 1))}])"
 
 
+_IRD = [f"((11 - {_sum('b', w)} % 11) % 11)" for w in (checks.IRD, checks.IRD_SECOND)]
+_NHI = f"(34 + {_sum('z', [4, 3, 2])})"  # A, B and C: 1 * 7 + 2 * 6 + 3 * 5
+
 SQL = {
     "lookup_ids": f"WITH {_ACTS} SELECT * FROM acts WHERE id IN (1, 3, 77, 1000000000000)",
     "day_present": f"WITH {_ACTS} SELECT EXISTS (SELECT 1 FROM acts WHERE start_ms BETWEEN {JAN_10} AND {JAN_10 + DAY_MS}) AS present",
@@ -82,6 +87,6 @@ SQL = {
     "updated_segments": "SELECT c_custkey, coalesce((SELECT max(o_orderpriority) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F'), c_mktsegment) AS c_mktsegment FROM customer",
     "pattern_view": f"WITH s AS ({_SQL['pattern_stats']}), h AS (SELECT user_id, count(*) FILTER (noise) AS hidden FROM s GROUP BY user_id) SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY seen DESC, last_ms DESC, app) AS INT) AS rank, app, seen, last_ms, hidden FROM s JOIN h USING (user_id) WHERE NOT noise",
     "carried_steps": "WITH g AS (SELECT conv_id, turn, role, max(CASE WHEN turn % 3 = 1 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) SELECT g.conv_id, g.turn, CASE WHEN g.p IS NULL THEN 'go' ELSE o.role || ': go' END AS step FROM g LEFT JOIN conversations o ON o.conv_id = g.conv_id AND o.turn = g.p",
-    "check_digits": f"WITH n AS (SELECT o_orderkey, CAST(20000000000 + o_orderkey * 7919 AS VARCHAR) AS v, substr(v, 3, 9) AS t FROM orders) SELECT o_orderkey, {_sum('t', checks.TFN)} % 11 = 0 AS tfn, ({_sum('v', checks.ABN)} - 10) % 89 = 0 AS abn, (10 - {_sum('t', checks.ACN)} % 10) % 10 = CAST(substr(t, 9, 1) AS INT) AS acn, {_sum('v', checks.MEDICARE)} % 10 = CAST(substr(v, 9, 1) AS INT) AS medicare FROM n",
+    "check_digits": f"WITH n AS (SELECT o_orderkey, CAST(20000000000 + o_orderkey * 7919 AS VARCHAR) AS v, substr(v, 3, 9) AS t, CAST(10000000 + o_orderkey * 37 AS VARCHAR) AS i, lpad(left(i, len(i) - 1), 8, '0') AS b, lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS z FROM orders) SELECT o_orderkey, CASE WHEN {_IRD[0]} = 10 THEN {_IRD[1]} ELSE {_IRD[0]} END = CAST(right(i, 1) AS INT) AS ird, {_NHI} % 11 <> 0 AND (11 - {_NHI} % 11) % 10 = CAST(right(z, 1) AS INT) AS nhi, {_sum('t', checks.TFN)} % 11 = 0 AS tfn, ({_sum('v', checks.ABN)} - 10) % 89 = 0 AS abn, (10 - {_sum('t', checks.ACN)} % 10) % 10 = CAST(substr(t, 9, 1) AS INT) AS acn, {_sum('v', checks.MEDICARE)} % 10 = CAST(substr(v, 9, 1) AS INT) AS medicare FROM n",
 }
 QUERIES = {name: globals()[name] for name in SQL}
