@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, fingerprint, langid, licenses, lm, pack, passages, pii, quality, simhash
+from tidemark.llm import bpe, decontaminate, fingerprint, langid, licenses, lm, pack, passages, pii, quality, simhash, spelling, trie
 from tidemark.llm.common import table
 
 
@@ -48,6 +48,18 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_licenses": op2_licenses,
@@ -59,6 +71,9 @@ QUERIES = {
     "op8_pack": op8_pack,
     "op9_simhash": op9_simhash,
     "op10_passages": op10_passages,
+    "op11_spelling": op11_spelling,
+    "op12_bpe": op12_bpe,
+    "op13_trie": op13_trie,
 }
 
 ORACLES: dict[str, str] = {}
