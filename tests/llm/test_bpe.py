@@ -41,6 +41,23 @@ def test_random_pieces(both):
     assert not own._queue.top and not own._queue.buckets
 
 
+def test_lower_ranks_after_a_merge():
+    """A vocabulary in which a merge makes a pair of a lower rank: those pre-tokens are merged one at a time, as the library does."""
+    r = random.Random(9)
+    for _ in range(60):
+        tokens = {bytes([b]): b for b in range(256)}
+        long = [x for x in {"".join(r.choices("abc", k=r.randint(2, 5))).encode() for _ in range(40)}]
+        r.shuffle(long)
+        tokens |= {x: 256 + i for i, x in enumerate(long)}
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens, special_tokens={})
+        pairs, queue = bpe.Pairs(tokens), bpe.RankQueue(max(tokens.values()))
+        pieces = ["".join(r.choices("abc", k=r.randint(1, 40))) for _ in range(60)]
+        got = bpe.merged_all([x.encode() for x in pieces], tokens, pairs, queue)
+        for x, ids in zip(pieces, got, strict=True):
+            if x.encode() not in tokens:
+                assert ids == library.encode_ordinary(x) == bpe.merged(x.encode(), tokens, queue), x
+
+
 def test_long_pieces(both):
     """One pre-token of a million signs: letters, and white space, which the library refuses at this length."""
     own, library = both

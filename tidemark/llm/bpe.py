@@ -2,15 +2,18 @@
 
 A pre-token's bytes form a linked list. Every pair of neighbours that the vocabulary knows stands in the bucket of its rank; which buckets
 hold anything is told by a bitmap of three levels, so the next rank is found by three find-first-set steps, however long the pre-token. A
-bucket gives its leftmost place first. Entries whose pair has changed since are stale and skipped. Texts are independent of one another:
-one pass, no shuffle.
+bucket gives its leftmost place first. Entries whose pair has changed since are stale and skipped.
+
+All new pre-tokens of a batch share one queue, and so does a pre-token of any length: a bucket's places are merged at once (of places that
+overlap every other one, from the left). That is the order of single merges as long as merges make pairs of higher ranks only. A pre-token in
+which one makes a lower rank is done again, one merge at a time. Texts are independent of one another: one pass, no shuffle.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,68 +27,59 @@ KEPT, KEPT_SIGNS = 1 << 18, 48
 
 
 class RankQueue:
-    """Places by rank: the least rank first, of its places the leftmost. Reused for one pre-token after another, as it ends empty."""
+    """Which ranks have a bucket, by three levels of bitmaps, and the buckets. It ends empty, and is used again."""
 
     def __init__(self, ranks: int) -> None:
         self.leaf, self.mid, self.top = [0] * ((ranks >> 6) + 1), [0] * ((ranks >> 12) + 1), 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list] = {}
 
-    def push(self, rank: int, place: int) -> None:
+    def bucket(self, rank: int) -> list:
+        """The rank's bucket, a new one where it has none."""
         bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, place)
-            return
-        self.buckets[rank] = [place]
-        word, block = rank >> 6, rank >> 12
-        self.leaf[word] |= 1 << (rank & 63)
-        self.mid[block] |= 1 << (word & 63)
-        self.top |= 1 << block
-
-    def fill(self, rank: int, places: list[int]) -> None:
-        """A whole bucket at once, of a rank that has none."""
-        self.push(rank, places[0])
-        self.buckets[rank] = places
-        heapify(places)
+        if bucket is None:
+            bucket = self.buckets[rank] = []
+            word, block = rank >> 6, rank >> 12
+            self.leaf[word] |= 1 << (rank & 63)
+            self.mid[block] |= 1 << (word & 63)
+            self.top |= 1 << block
+        return bucket
 
     def first(self) -> int:
-        """The least rank that has a place; the queue mustn't be empty."""
+        """The least rank that has a bucket; the queue mustn't be empty."""
         block = (self.top & -self.top).bit_length() - 1
         word = self.mid[block]
         word = (block << 6) + (word & -word).bit_length() - 1
         bits = self.leaf[word]
         return (word << 6) + (bits & -bits).bit_length() - 1
 
-    def drop(self, rank: int) -> None:
-        """The bucket of a rank is empty."""
-        del self.buckets[rank]
+    def drop(self, rank: int) -> list:
+        """Takes the rank's bucket out."""
         word, block = rank >> 6, rank >> 12
         self.leaf[word] &= ~(1 << (rank & 63))
         if not self.leaf[word]:
             self.mid[block] &= ~(1 << (word & 63))
             if not self.mid[block]:
                 self.top &= ~(1 << block)
+        return self.buckets.pop(rank)
 
 
 def merged(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Ids of one pre-token."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
+    """Ids of one pre-token, one merge at a time."""
     n = len(piece)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     at: list[int] = [-1] * n  # rank of the pair that begins at a place
-    first: dict[int, list[int]] = {}
-    for i in range(n - 1):
-        rank = ranks.get(piece[i : i + 2])
+    get, bucket_of = ranks.get, queue.bucket
+
+    def put(i: int, rank: int | None) -> None:
+        at[i] = -1 if rank is None else rank
         if rank is not None:
-            at[i] = rank
-            first.setdefault(rank, []).append(i)
-    for rank, places in first.items():
-        queue.fill(rank, places)
-    buckets, get, push = queue.buckets, ranks.get, queue.push
+            heappush(bucket_of(rank), i)
+
+    for i in range(n - 1):
+        put(i, get(piece[i : i + 2]))
     while queue.top:
         rank = queue.first()
-        bucket = buckets[rank]
+        bucket = queue.buckets[rank]
         i = heappop(bucket)
         if not bucket:
             queue.drop(rank)
@@ -96,16 +90,9 @@ def merged(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]
         after[i], at[gone], at[i] = end, -1, -1
         if end < n:
             before[end] = i
-            new = get(piece[i : after[end]])
-            if new is not None:
-                at[i] = new
-                push(new, i)
-        left = before[i]
-        if left >= 0:
-            new = get(piece[left:end])
-            at[left] = -1 if new is None else new
-            if new is not None:
-                push(new, left)
+            put(i, get(piece[i : after[end]]))
+        if before[i] >= 0:
+            put(before[i], get(piece[before[i] : end]))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -113,6 +100,99 @@ def merged(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]
     return out
 
 
+class Pairs:
+    """Ranks of pairs of tokens, of which the vocabulary has what they make together."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        keys, values = [], []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    keys.append(a << 32 | b)
+                    values.append(rank)
+        order = np.argsort(np.array(keys, np.int64))
+        self._keys = np.append(np.array(keys, np.int64)[order], np.int64(np.iinfo(np.int64).max))
+        self._values = np.append(np.array(values, np.int64)[order], -1)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 where there is none."""
+        key = a << 32 | b
+        i = np.searchsorted(self._keys, key)
+        return np.where(self._keys[i] == key, self._values[i], -1)
+
+
+def merged_all(pieces: list[bytes], ranks: dict[bytes, int], pairs: Pairs, queue: RankQueue) -> list[list[int]]:
+    """Ids of many pre-tokens, none of which is empty."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    lengths = np.array([len(x) for x in pieces])
+    starts = np.cumsum(lengths) - lengths
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    token, n = byte_ids[data], len(data)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[starts + lengths - 1], before[starts] = -1, -1
+    inner = np.flatnonzero(after >= 0)
+    at = np.full(n, -1)
+    at[inner] = pairs.ranks(token[inner], token[inner + 1])
+    odd: set[int] = set()
+
+    def put(places: np.ndarray) -> None:
+        rank = at[places]
+        places, rank = places[rank >= 0], rank[rank >= 0]
+        if len(places) > 1:
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, part in zip(rank[np.append(0, cuts)].tolist(), np.split(places, cuts), strict=True):
+                queue.bucket(r).append(part)
+        elif len(places):
+            queue.bucket(int(rank[0])).append(places)
+
+    put(inner)
+    while queue.top:
+        rank = queue.first()
+        parts = queue.drop(rank)
+        place = np.concatenate(parts)
+        place = np.unique(place[at[place] == rank])  # the others are stale
+        if len(place) > 1:
+            touch = after[place[:-1]] == place[1:]
+            if touch.any():
+                i = np.arange(len(place))
+                begins = np.maximum.accumulate(np.where(np.append(True, ~touch), i, 0))
+                place = place[(i - begins) % 2 == 0]
+        if not len(place):
+            continue
+        gone = after[place]
+        end = after[gone]
+        on = end >= 0
+        beside = token[end[on]]
+        token[place], token[gone], at[gone], at[place] = rank, -1, -1, -1
+        after[place] = end
+        before[end[on]] = place[on]
+        both = token[end[on]] != beside  # what follows merges as well: before it does, it may make a lower rank
+        if both.any():
+            then = pairs.ranks(np.full(both.sum(), rank), beside[both])
+            low = place[on][both][(then >= 0) & (then < rank)]
+            odd.update((np.searchsorted(starts, low, "right") - 1).tolist())
+        left = before[place]
+        left = left[left >= 0]
+        at[place[on]] = pairs.ranks(token[place[on]], token[end[on]])
+        at[left] = pairs.ranks(token[left], token[after[left]])
+        fresh = np.concatenate([place[on], left])
+        low = fresh[(at[fresh] >= 0) & (at[fresh] < rank)]
+        if len(low):
+            odd.update((np.searchsorted(starts, low, "right") - 1).tolist())
+        put(fresh)
+    alive = np.flatnonzero(token >= 0)
+    cuts = np.searchsorted(alive, starts)
+    ids = token[alive].tolist()
+    ends = np.append(cuts[1:], len(ids)).tolist()
+    out = [ids[a:b] for a, b in zip(cuts.tolist(), ends, strict=True)]
+    for k in odd:
+        out[k] = merged(pieces[k], ranks, queue)
+    return out
+
+
 def newer_signs() -> str:
     """Letters and digits of the `regex` module's Unicode version that tiktoken's version doesn't have yet: there they are neither."""
     import regex
@@ -139,25 +219,41 @@ class Coder:
         newer = newer_signs()
         self._newer, self._plain = frozenset(newer), dict.fromkeys(map(ord, newer), "\ue000")
         self._pieces, self._queue, self._kept = regex.compile(pattern or public_tokenizers.PATTERN), RankQueue(max(self.ranks.values())), {}
+        self._pairs = Pairs(self.ranks)
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        kept, ranks, queue = self._kept, self.ranks, self._queue
+    def _split(self, text: str) -> list[str]:
         if not text.isascii() and not self._newer.isdisjoint(text):
-            pieces = [text[m.start() : m.end()] for m in self._pieces.finditer(text.translate(self._plain))]
-        else:
-            pieces = self._pieces.findall(text)
-        for m in pieces:
-            ids = kept.get(m)
-            if ids is None:
-                ids = merged(m.encode(), ranks, queue)
-                if len(m) <= KEPT_SIGNS:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[m] = ids
-            out += ids
+            return [text[m.start() : m.end()] for m in self._pieces.finditer(text.translate(self._plain))]
+        return self._pieces.findall(text)
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        split = [self._split(x) for x in texts]
+        wanted = set().union(*split)
+        if len(self._kept) + len(wanted) > KEPT:
+            self._kept.clear()
+        kept, new = self._kept, []
+        for m in wanted - kept.keys():
+            whole = self.ranks.get(m.encode())
+            if whole is None:
+                new.append(m)
+            else:
+                kept[m] = [whole]
+        if new:
+            kept.update(zip(new, merged_all([m.encode() for m in new], self.ranks, self._pairs, self._queue), strict=True))
+        out = []
+        for pieces in split:
+            ids: list[int] = []
+            for m in pieces:
+                ids += kept[m]
+            out.append(ids)
+        for m in new:
+            if len(m) > KEPT_SIGNS:
+                del kept[m]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
+
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids; an id that the file lacks is a KeyError."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -193,8 +289,8 @@ def encoded(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
             texts = texts_of(batch.column(len(keep)))
             for lo, hi in chunks(texts):
                 flat, ends = [], [0]
-                for x in texts[lo:hi]:
-                    flat += coder.encode(x.decode("utf-8", "replace"))
+                for own in coder.encode_all([x.decode("utf-8", "replace") for x in texts[lo:hi]]):
+                    flat += own
                     ends.append(len(flat))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
                 some = batch.slice(lo, hi - lo)
