@@ -20,7 +20,7 @@ from tidemark.llm.common import cut, discard
 RUN = r"[A-Za-zÀ-ÿ]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A key with more pairs than this is halved again. A shard has about so many entries, or so many signs in them.
-MOST_PAIRS, SHARD_ENTRIES, SHARD_SIGNS = 200_000, 50_000, 8_000_000
+MOST_PAIRS, SHARD_ENTRIES, SHARD_SIGNS = 20_000, 50_000, 8_000_000
 
 
 def words(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_signs: int = 5, least_times: int = 3, typo_every: int = 97) -> DataFrame:
