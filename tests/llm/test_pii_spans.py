@@ -34,6 +34,7 @@ def test_added_spans_and_redaction(spark):
     assert all(set(map(tuple, r.base)) <= set(map(tuple, r.spans)) for r in found.values())
     kinds = {i: {pii.KINDS[s.kind] for s in r.spans} for i, r in found.items()}
     assert kinds[0] == {"secret"} and kinds[1] == {"email"} and kinds[2] == {"id"} and kinds[3] == {"phone"} and kinds[4] == kinds[5] == set() and kinds[6] == {"email", "ip"}
+    assert [texts[2][s.start : s.end] for s in found[2].spans] == ["219-09-9999", "GB82 WEST 1234 5698 7654 32"]
     assert texts[3][found[3].spans[0].start : found[3].spans[0].end] == "(212) 555-0142" and len(found[3].spans) == 1
     out = {r.doc_id: r for r in pii.redacted(docs).collect()}
     for i, t in enumerate(texts):
@@ -75,3 +76,21 @@ def test_held_out_candidates(spark):
     print("recall", recall, "false", false)
     assert recall >= 0.9 and false <= 0.1
     assert not any(re.search("card|ip", x) for x in got.values())
+
+
+#: Published examples of account numbers of 15 to 31 signs.
+ACCOUNTS = ["NO93 8601 1117 947", "BE68 5390 0754 7034", "NL91 ABNA 0417 1643 00", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "ES91 2100 0418 4502 0005 1332", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+
+
+def test_account_numbers(spark):
+    """Whole numbers, in groups and in one piece, whatever stands behind them; nothing of one is left."""
+    rows, want = [], {}
+    for k, number in enumerate([*ACCOUNTS, *(x.replace(" ", "") for x in ACCOUNTS)]):
+        for j, text in enumerate((f"iban {number} EUR 12", f"Konto: {number}.", f"please pay to account {number} today")):
+            rows.append((10 * k + j, text))
+            want[10 * k + j] = number
+    found = {r["__row"].doc_id: r.spans for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert [text[s.start : s.end] for s in found[i] if pii.KINDS[s.kind] == "id"] == [want[i]], (text, found[i])
+    for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.text == dict(rows)[r.doc_id].replace(want[r.doc_id], "[ID]")

@@ -28,6 +28,20 @@ BASE = {
 }
 #: A text without this has no match of the kind.
 GATES = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+# Lengths of international bank account numbers by country, from the public registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+
+
+def _iban_pattern() -> str:
+    """Account numbers in groups of four signs, or in one piece: of the length that the country has, or of any where the country is unknown."""
+    four, known = r"(?:\x20?[A-Z0-9]{4})", "|".join("|".join(x.split()) for x in IBAN_LENGTHS.values())
+    own = [f"(?:{'|'.join(x.split())})[0-9]{{2}}{four}{{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, x in IBAN_LENGTHS.items()]
+    return "|".join([*own, rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}{four}{{2}}(?:\x20?[A-Z0-9]{{3}}|{four}{{1,5}}(?:\x20?[A-Z0-9]{{1,2}})?)"])
+
+
 #: Candidates: kind, pattern.
 GENERATORS = (
     ("email", r"(?i)(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++(?:@|\x20?[(\[]at[)\]]\x20?)[a-z0-9-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[a-z0-9-]++)++"),
@@ -35,7 +49,7 @@ GENERATORS = (
     ("card", r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){11,18}(?![0-9])"),
     ("phone", r"(?<![0-9])(?:\+|00)?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9])"),
     ("secret", r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key)[\"']?\x20?[=:]\x20?[\"']?[a-z0-9+/_-]{16,}+"),
-    ("id", r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9])"),
+    ("id", rf"(?<![A-Za-z0-9])(?:{_iban_pattern()}|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})(?![A-Za-z0-9])"),
 )
 #: Words that announce personal data, by kind.
 CUES = (
