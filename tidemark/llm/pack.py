@@ -21,13 +21,15 @@ TRIPLE_STEP = 16
 
 
 def _encoder(path: str | None):
-    """The tokenizer of a vocabulary file for `tokenizers`, run by tiktoken, which gives the same ids several times as fast."""
+    """The tokenizer of a vocabulary file, run by tiktoken, which gives the same ids several times as fast; its special strings; and `tokenizers` itself."""
     import json
 
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -35,7 +37,7 @@ def _encoder(path: str | None):
     ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
     if max(spec["model"]["vocab"].values()) >= 1 << 16:
         raise ValueError("ids are held in 16 bits: a vocabulary of more than 65,536 entries can't be used")
-    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), special
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), special, Tokenizer.from_file(path)
 
 
 _ENCODERS: dict[str | None, tuple] = {}
@@ -45,9 +47,16 @@ def encode(texts: list[str], path: str | None = None) -> list[np.ndarray]:
     """Ids of each text, with the end id. The file's special strings get their own ids, as `tokenizers` gives them."""
     if path not in _ENCODERS:
         _ENCODERS[path] = _encoder(path)
-    enc, special = _ENCODERS[path]
+    enc, special, slow = _ENCODERS[path]
     end = np.array([END_ID], np.uint32)
-    return [np.concatenate([enc.encode_to_numpy(x, allowed_special="all" if any(s in x for s in special) else set(), disallowed_special=()), end]) for x in texts]
+
+    def ids(x: str) -> np.ndarray:
+        try:
+            return enc.encode_to_numpy(x, allowed_special="all" if any(s in x for s in special) else set(), disallowed_special=())
+        except ValueError:  # tiktoken's pattern matcher refuses very long runs of white space
+            return np.array(slow.encode(x, add_special_tokens=False).ids, np.uint32)
+
+    return [np.concatenate([ids(x), end]) for x in texts]
 
 
 def tokenised(docs: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, path: str | None = None) -> DataFrame:
@@ -55,6 +64,8 @@ def tokenised(docs: DataFrame, text: str = "text", keep: list[str] | None = None
     part before it with the same r; whole windows of this part before it), and ids as little-endian unsigned 16 bits."""
     arrow_limits(docs.sparkSession)
     keep = keep if keep is not None else ["doc_id"]
+    if taken := {"part", "seq", "n", "r", "k", "f", "ids", "doc_tokens", "start", "length", "sequence_id", "offset", "pieces", "p"} & set(keep):
+        raise ValueError(f"kept columns have names of results: {sorted(taken)}")
 
     def run(batches):
         part, seq, f, seen = TaskContext.get().partitionId(), 0, 0, np.zeros(window, np.int64)
@@ -146,7 +157,7 @@ def pieces(docs: DataFrame, text: str = "text", keep: list[str] | None = None, w
     """The kept columns and start, length, ids (little-endian unsigned 32 bits), doc_tokens, sequence_id and offset of each piece.
 
     A null text is empty and has the end id only; repeated rows are packed each; no document gives no piece. All sequences but at most one
-    are full windows.
+    are full windows. Kept columns with names of results are refused.
     """
     spark = docs.sparkSession
     keep = keep if keep is not None else ["doc_id"]
