@@ -11,12 +11,13 @@ of minima and are confirmed by the sets of shingles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_limits, chunks, cut, discard, mix, texts_of
@@ -288,20 +289,38 @@ def rarest_shingles(vertices: DataFrame, sets: DataFrame, least: float) -> DataF
     return ranked
 
 
+#: Sizes of sets that differ by less than this share are in one bucket.
+_STEP = 0.03
+
+
+def _bucket(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log1p(_STEP)).cast("int")
+
+
 def sharing(ranked: DataFrame, components_: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) with ends in different components (__uid, c) that can be similar, among them all that are.
 
-    They have one of their rarest shingles in common, and what follows the first such one is long enough to hold all they have to share. So
-    copies that differ too much are no candidates, however many there are and whatever they share further on.
+    They have one of their rarest shingles in common, and what follows the first such one is long enough to hold all they have to share. For the
+    smaller set of a pair that is nearly all of it, and for the larger it bounds the smaller's size from above; so each shingle of a set is
+    looked up by sizes that fit, and copies that differ too much don't meet, however many there are and whatever they share further on. Of
+    each shingle the component with most sets is left out on one side: its sets need no links among themselves.
     """
     t = F.lit(least)
     rows = cut(ranked.join(components_, "__uid"), "shared")
-    mixed = rows.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("token")
-    kept = rows.join(mixed, "token")
-    one = kept.select("token", F.col("__uid").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u"), F.col("left").alias("l_u"))
-    two = kept.select("token", F.col("__uid").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"), F.col("left").alias("l_v"))
-    room = F.least("l_u", "l_v") * (1 + t) >= t * (F.col("n_u") + F.col("n_v")) - 1e-9
-    pairs = cut(one.join(two, "token").where((F.col("u") < F.col("v")) & (F.col("c_u") != F.col("c_v")) & room).select("u", "v").distinct(), "pairs")
+    sizes = rows.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    kept = rows.join(sizes.where("parts > 1").select("token", "main"), "token").withColumn("other", F.col("c") != F.col("main"))
+    room = F.floor(F.col("left") * (1 + t) / t - F.col("n") + 1e-6)
+    larger = kept.withColumn("lo", F.ceil(t * F.col("n") - 1e-6)).withColumn("hi", F.least(F.col("n"), room)).where("lo <= hi and hi > 0")
+    larger = larger.select("token", F.col("__uid").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u"), F.col("left").alias("l_u"), "other", F.explode(F.sequence(_bucket(F.greatest("lo", F.lit(1))), _bucket(F.col("hi")))).alias("bucket"))
+    smaller = kept.where(F.col("left") * (1 + t) >= 2 * t * F.col("n") - 1e-6)
+    smaller = smaller.select("token", F.col("__uid").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"), F.col("left").alias("l_v"), F.col("other").alias("other_v"), _bucket(F.col("n")).alias("bucket"))
+    fits = F.least("l_u", "l_v") * (1 + t) >= t * (F.col("n_u") + F.col("n_v")) - 1e-6
+    once = (F.col("n_v") < F.col("n_u")) | ((F.col("n_v") == F.col("n_u")) & (F.col("v") > F.col("u")))
+
+    def met(one: DataFrame, two: DataFrame) -> DataFrame:
+        return one.join(two, ["token", "bucket"]).where((F.col("c_u") != F.col("c_v")) & fits & once & (F.col("n_v") >= t * F.col("n_u") - 1e-6)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+    pairs = cut(met(larger.where("other"), smaller).unionByName(met(larger.where("not other"), smaller.where("other_v"))).distinct(), "pairs")
     discard(rows)
     return pairs
 
