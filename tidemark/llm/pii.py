@@ -74,8 +74,8 @@ PLANTED = (
 )
 #: What a planted text counts as, against texts of the documents.
 _PLANTED_WEIGHT = 5
-#: Of candidates that meet, the one whose kind comes first here stays: phone numbers last, as other numbers look like them.
-_FIRST = ("email", "ip", "card", "secret", "id", "phone")
+#: Of candidates that meet, the one whose kind comes first here stays: account numbers before cards, and phone numbers last, as parts of the others look like them.
+_FIRST = ("email", "ip", "id", "card", "secret", "phone")
 _BLOCK, _CHUNK = 64, 4096
 
 
@@ -230,8 +230,12 @@ def _against(spans: Column, others: Column) -> Column:
 
 
 def _free_of(spans: Column, others: Column) -> Column:
-    """The spans that meet none of the others."""
-    return F.transform(F.filter(_against(spans, others), lambda y: ~y["met"]), lambda y: y["x"])
+    """The spans that meet none of the others, and numbers (`id`) that hold whole all they meet: digits of an account number may look like a card's."""
+
+    def whole(x):
+        return F.forall(others, lambda o: (o["end"] <= x["start"]) | (o["start"] >= x["end"]) | ((o["start"] >= x["start"]) & (o["end"] <= x["end"])))
+
+    return F.transform(F.filter(_against(spans, others), lambda y: ~y["met"] | ((y["x"]["kind"] == KINDS.index("id")) & whole(y["x"]))), lambda y: y["x"])
 
 
 def _described(s: Column) -> Column:
