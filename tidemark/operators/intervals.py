@@ -58,12 +58,22 @@ def as_of(left: DataFrame, right: DataFrame, key: str, direction: str = "nearest
     return rows.select(key, "t", match.alias("match"))
 
 
+def dealt_windows(windows: DataFrame, key: str, slot_ms: int) -> DataFrame:
+    """Windows (key, start_ms, end_ms, window) dealt to time slots: the slots of a window are as wide as it is long, rounded up to slot_ms times a
+    power of two (level), so it touches two of them at most. Windows that end before they start are left out."""
+    rows = windows.where("end_ms >= start_ms").select(key, "start_ms", "end_ms", "window", F.greatest(F.lit(0), F.ceil(F.log2((F.col("end_ms") - F.col("start_ms") + 1) / slot_ms))).cast("int").alias("level"))
+    wide = F.expr(f"shiftleft({slot_ms}L, level)")
+    return rows.withColumn("slot", F.explode(F.array_distinct(F.array(F.floor(F.col("start_ms") / wide), F.floor(F.col("end_ms") / wide)))))
+
+
 def contained(points: DataFrame, windows: DataFrame, key: str, slot_ms: int) -> DataFrame:
     """Points (key, t, id) with the windows (key, start_ms, end_ms, window) that hold them, both ends inclusive.
 
-    Windows are dealt to the time slots they touch and points to the one they are in, so the join is on key and slot.
+    The join is on key, level and slot. A point goes to one slot of each level that some window has; there are as many levels as lengths differ
+    by powers of two, 60 at most, and one where all windows are shorter than slot_ms.
     """
-    slots = F.sequence(F.floor(F.col("start_ms") / slot_ms), F.floor(F.greatest("start_ms", "end_ms") / slot_ms))
-    dealt = windows.select(key, "start_ms", "end_ms", "window", F.explode(slots).alias("slot"))
-    placed = points.withColumn("slot", F.floor(F.col("t") / slot_ms))
-    return placed.join(dealt, [key, "slot"]).where((F.col("t") >= F.col("start_ms")) & (F.col("t") <= F.col("end_ms"))).drop("slot")
+    dealt = dealt_windows(windows, key, slot_ms)
+    levels = sorted(r["level"] for r in dealt.select("level").distinct().collect())
+    level = F.explode(F.array(*(F.lit(x) for x in levels)).cast("array<int>")).alias("level")
+    placed = points.select("*", level).withColumn("slot", F.floor(F.col("t") / F.expr(f"shiftleft({slot_ms}L, level)")))
+    return placed.join(dealt, [key, "level", "slot"]).where((F.col("t") >= F.col("start_ms")) & (F.col("t") <= F.col("end_ms"))).drop("level", "slot")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,3 +22,19 @@ def activities(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("app"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("title"),
         start.alias("start_ms"), (start + F.round(F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(0.0)) * 1000).cast("bigint")).alias("end_ms"),
     )
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there: lineage ends, and a lost executor costs no recomputation.
+
+    The folder is spark.checkpoint.dir, which driver and executors share. Where the session names none, a temporary one is set on a local
+    master; on a cluster that is an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
