@@ -52,7 +52,7 @@ def test_bursts_are_the_machine(spark, seed):
 def streamed(spark, tmp_path, rows, schema, time, make, name, files=6):
     src = tmp_path / name
     stamp = f"timestamp_millis({time}) AS ts_at"
-    far = max(r[1] for r in rows) + 10**9
+    far = max(r[1] for r in rows) + 10**11
     for k in range(files):
         spark.createDataFrame(rows[k::files], schema).selectExpr("*", stamp).coalesce(1).write.parquet(str(src / f"a{k}"))
     for k in (1, 2):

@@ -179,3 +179,19 @@ def test_runner_orders_equal_times(spark):
     df = spark.createDataFrame([("k", 1, "b"), ("k", 1, None), ("k", 1, "a"), ("k", 0, "z")], "k string, at long, x string").repartition(4)
     got = folds.batch(df, ["k"], ["at", "x"], lambda k: Order(), "x string").collect()
     assert [r.x for r in got] == ["z", None, "a", "b"]
+
+
+def test_query_over_the_table(spark, sf_dir):
+    """The registered query gives what one machine for each user gives."""
+    from tidemark.plans import activity
+    from tidemark.plans.queries import _acts
+
+    rules = Rules(max_ms=24 * 3_600_000, grace_ms=60_000, idle_ms=6 * 3_600_000)
+    records, want = {}, []
+    for r in windows.from_activities(_acts(spark, sf_dir)).collect():
+        records.setdefault(r[0], []).append(tuple(r[1:]))
+    for user, rows in records.items():
+        m = WindowMachine(rules)
+        want += [(user, *x) for r in sorted(rows, key=lambda r: r[:2]) for x in m.take(r)] + [(user, *x) for x in m.end()]
+    got = activity.event_windows(spark, sf_dir).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(got) > 100

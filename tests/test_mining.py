@@ -43,8 +43,16 @@ def test_attached(spark):
     got = {r.vec_id: (r.centroid, r.sim) for r in profile.attached(rows, {9: [1.0, 0.0], 7: [1.0, 0.0], 8: [0.0, 1.0]}).collect()}
     assert got == {1: (7, 1.0), 2: (None, 0.1), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, 0.0)}
     assert {r.centroid for r in profile.attached(rows, {}).collect()} == {None}
-    with pytest.raises(ValueError, match="at most"):
-        profile.attached(rows, {i: [0.0] for i in range(profile.MOST_CENTROIDS + 1)})
+
+
+def test_attached_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(30)] + [(99, None)], "vec_id bigint, embedding array<double>")
+    centroids = {100 + i: [math.cos(i / 3), math.sin(i / 3)] for i in range(17)} | {90: [math.cos(4 / 3), math.sin(4 / 3)]}
+    whole = sorted((r.vec_id, r.centroid, r.sim) for r in profile.attached(rows, centroids, 0.9).collect() if r.vec_id != 99)
+    monkeypatch.setattr(profile, "CENTROID_BLOCK", 4)
+    got = {r.vec_id: r for r in profile.attached(rows, centroids, 0.9).collect()}
+    assert sorted((r.vec_id, r.centroid, r.sim) for r in got.values() if r.vec_id != 99) == whole
+    assert got[99].centroid is None and got[99].sim is None
 
 
 def test_costs_and_titles(spark):

@@ -21,7 +21,7 @@ def plain(rows):
     return sorted(repr([round(x, 4) if isinstance(x, float) else x for x in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(name, spark, duck, sf_dir):
     got = QUERIES[name](spark, sf_dir)
     want = duck.execute(SQL[name])

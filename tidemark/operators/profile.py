@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import intervals
 
-#: Centroids are sent to every task, so there may be only so many.
-MOST_CENTROIDS = 4096
+#: Centroids are sent to every task in blocks of so many.
+CENTROID_BLOCK = 4096
 
 
 def app_hours(acts: DataFrame, most: int = 15) -> DataFrame:
@@ -83,12 +83,22 @@ def chunk_counts(points: DataFrame, windows: DataFrame, key: str, chunk_ms: int,
 def attached(vectors: DataFrame, centroids: dict[int, list[float]], floor: float = 0.65) -> DataFrame:
     """(vec_id, centroid, sim): the centroid with the largest dot product, the smallest of ties; null where that is under the floor.
 
-    A matrix product for each batch. Vectors that are null, not finite or of another length have no centroid and no likeness.
+    A matrix product for each batch; more centroids than a block are taken block by block, and the best of the blocks' best is the best; then ids must be distinct. Vectors that are null, not finite or of another length have no centroid and no likeness.
     """
-    if len(centroids) > MOST_CENTROIDS:
-        raise ValueError(f"{len(centroids)} centroids, at most {MOST_CENTROIDS} can be sent to all tasks")
-    names = np.array(sorted(centroids), np.int64)
-    matrix = np.array([centroids[k] for k in names], np.float64) if centroids else np.empty((0, 0))
+    named = sorted(centroids)
+    blocks = [named[k : k + CENTROID_BLOCK] for k in range(0, len(named), CENTROID_BLOCK)] or [[]]
+    if len(blocks) == 1:
+        return _attached(vectors, centroids, named, floor)
+    found = _attached(vectors, centroids, blocks[0], floor)
+    for names in blocks[1:]:
+        found = found.unionByName(_attached(vectors, centroids, names, floor))
+    best = F.max_by("centroid", F.struct(F.coalesce("sim", F.lit(float("-inf"))), -F.coalesce("centroid", F.lit(0))))
+    return found.groupBy("vec_id").agg(best.alias("centroid"), F.max("sim").alias("sim"))
+
+
+def _attached(vectors: DataFrame, centroids: dict[int, list[float]], chosen: list[int], floor: float) -> DataFrame:
+    names = np.array(chosen, np.int64)
+    matrix = np.array([centroids[k] for k in chosen], np.float64) if chosen else np.empty((0, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,12 +14,54 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, query: list[float], limit: int, where: Column | None = None) -> DataFrame:
-    """The limit vectors with the least Euclidean distance to the query (of ties the smaller id); a filter holds before the limit, so none is missed."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    distance = F.sqrt(F.aggregate(F.zip_with(F.col("embedding"), q, lambda x, y: (x.cast("double") - y) ** 2), F.lit(0.0), lambda s, x: s + x))
-    rows = vectors if where is None else vectors.where(where)
-    return rows.select("vec_id", F.round(distance, 6).alias("distance")).orderBy("distance", "vec_id").limit(limit)
+#: Query vectors that one pass over all vectors takes along, and vectors that a task compares with them at a time.
+QUERY_BLOCK, ROWS = 2_048, 2_000
+
+
+def _sound(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors have this length and only finite numbers, and those as a matrix."""
+    rows = [np.array(x if x is not None and None not in x else [], np.float64) for x in column.to_pylist()]
+    ok = np.array([len(x) == size and bool(np.isfinite(x).all()) for x in rows], bool)
+    return ok, np.stack([x for x, k in zip(rows, ok, strict=True) if k]) if ok.any() else np.empty((0, size))
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, id, distance, rank): of each query vector (query_id, vector) the limit nearest of all vectors, by Euclidean distance to six decimals; of ties the smaller id.
+
+    Queries go in blocks of bounded size; each block is one pass, in which tasks compare by matrix products and keep the limit best of each
+    query, so that is all that is shuffled. Ids are whole numbers. Vectors that are null, not finite or of another length than the query are
+    found by none, and such queries find none; queries of several lengths go one length at a time.
+    """
+    spark, schema = vectors.sparkSession, f"query_id bigint, {id_col} bigint, distance double"
+    size = queries.select(F.size(vector).alias("size")).where("size > 0").groupBy("size").count().orderBy("size").collect()
+    found = spark.createDataFrame([], schema)
+    for r in size:
+        blocks = -(-r["count"] // QUERY_BLOCK)
+        for block in range(blocks):
+            asked = queries.where((F.size(vector) == r["size"]) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).select(F.col("query_id").cast("bigint"), vector).toArrow()
+            ok, matrix = _sound(asked.column(1), r["size"])
+            if ok.any():
+                found = found.unionByName(_nearest_in_tasks(vectors, asked.column(0).to_numpy()[ok], matrix, limit, id_col, vector, schema))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def _nearest_in_tasks(vectors: DataFrame, names: np.ndarray, matrix: np.ndarray, limit: int, id_col: str, vector: str, schema: str) -> DataFrame:
+    squares = (matrix**2).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, best = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        for batch in batches:
+            for part in (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS)):
+                ok, x = _sound(part.column(1), matrix.shape[1])
+                far = np.round(np.sqrt(np.maximum(squares[:, None] + (x**2).sum(1)[None] - 2 * (matrix @ x.T), 0)), 6)
+                ids = np.concatenate([ids, np.broadcast_to(part.column(0).to_numpy()[ok], far.shape)], 1)
+                best = np.concatenate([best, far], 1)
+                order = np.lexsort((ids, best))[:, :limit]
+                ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel()), pa.array(best.ravel())], ["query_id", id_col, "distance"])
+
+    return vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias(id_col), vector).mapInArrow(run, schema)
 
 
 def terms(text: Column) -> Column:
@@ -42,21 +88,35 @@ def bm25(docs: DataFrame, query: list[str], limit: int, every: bool = False, k1:
     return rows.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
-def fused(rankings: list[DataFrame], limit: int, k: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of rankings (id, rank): the sum of 1 / (k + rank)."""
-    rows = rankings[0]
-    for r in rankings[1:]:
-        rows = rows.unionByName(r)
-    return rows.groupBy("id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 8).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+def bm25_of_each(docs: DataFrame, queries: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score, rank): the limit best documents for any of each query's terms (query_id, term), lower-cased; of ties the smaller id.
+
+    Postings are made once for all queries, and only those of asked terms are counted and joined. A document's scores add up before the
+    shuffle that ranks them.
+    """
+    wanted = queries.select("query_id", F.lower("term").alias("term")).distinct()
+    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size(terms(F.col("text")))).alias("mean"))
+    hits = postings(docs).join(wanted.select("term").distinct(), "term", "left_semi")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    weighed = hits.join(df, "term").join(F.broadcast(size)).select("term", "doc_id", part.alias("w"))  # size has one row
+    rows = weighed.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def ranked(hits: DataFrame, id_col: str, *order: Column) -> DataFrame:
-    """(id, rank) of a result list, which a limit has made short."""
-    return hits.select(F.col(id_col).alias("id"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
+def fused_of_each(rankings: list[DataFrame], limit: int, k: int = 60) -> DataFrame:
+    """(query_id, id, score, rank): reciprocal-rank fusion of rankings (query_id, id, rank) for each query."""
+    rows = rankings[0].select("query_id", "id", "rank")
+    for r in rankings[1:]:
+        rows = rows.unionByName(r.select("query_id", "id", "rank"))
+    rows = rows.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 8).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= limit)
 
 
-def hybrid(vector: DataFrame, text: DataFrame, limit: int) -> DataFrame:
-    """Vector hits (id, rank) first, then text hits that aren't among them, cut to the limit."""
-    both = vector.select("id", F.lit(0).alias("part"), "rank").unionByName(text.select("id", F.lit(1).alias("part"), "rank"))
-    first = both.groupBy("id").agg(F.min(F.struct("part", "rank")).alias("at"))
-    return first.select("id", F.row_number().over(Window.orderBy("at")).alias("rank")).where(F.col("rank") <= limit)
+def hybrid_of_each(vector: DataFrame, text: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id, rank): each query's vector hits (query_id, id, rank) first, then text hits that aren't among them, cut to the limit."""
+    both = vector.select("query_id", "id", F.lit(0).alias("part"), "rank").unionByName(text.select("query_id", "id", F.lit(1).alias("part"), "rank"))
+    first = both.groupBy("query_id", "id").agg(F.min(F.struct("part", "rank")).alias("at"))
+    return first.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("at")).alias("rank")).where(F.col("rank") <= limit)

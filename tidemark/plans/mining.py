@@ -73,7 +73,7 @@ def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def attached_vectors(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    first = vectors.where("label is not null").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).limit(profile.MOST_CENTROIDS + 1).collect()
+    first = vectors.where("label is not null").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e")).collect()
     found = profile.attached(vectors, {r.label: r.e for r in first}, 0.3)
     return found.select("vec_id", "centroid", F.round("sim", 4).alias("sim"))
 

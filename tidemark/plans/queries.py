@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import web
@@ -23,18 +23,21 @@ _BM25 = f"""t AS (SELECT doc_id, unnest(w) AS term, len(w) AS n FROM (SELECT doc
  hits AS (SELECT term, doc_id, n, count(*) AS tf FROM t WHERE term IN ('the', 'stand', 'idiot') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
  bm AS (SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM hits JOIN df USING (term), size GROUP BY doc_id),
  best AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 50)"""
-_VEC = """q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1),
- near AS (SELECT vec_id, label, round(sqrt(list_sum([(CAST(embedding[i] AS DOUBLE) - CAST(e[i] AS DOUBLE)) ** 2 FOR i IN range(1, len(e) + 1)])), 6) AS distance FROM embeddings, q)"""
+_VEC = """near AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(sqrt(list_sum([(CAST(e.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) ** 2 FOR i IN range(1, len(q.embedding) + 1)])), 6) AS distance
+ FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+ nearest AS (SELECT query_id, vec_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank FROM near {where} QUALIFY rank <= 20)"""
+_TEXTS = f"""w AS (SELECT DISTINCT doc_id AS query_id, unnest({_TERMS}) AS term FROM documents WHERE doc_id % 50 = 0), wanted AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) <= 3),
+ t AS (SELECT doc_id, unnest(w) AS term, len(w) AS n FROM (SELECT doc_id, {_TERMS} AS w FROM documents)), size AS (SELECT count(*) AS docs, avg(len({_TERMS})) AS mean FROM documents),
+ hits AS (SELECT term, doc_id, n, count(*) AS tf FROM t WHERE term IN (SELECT term FROM wanted) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
+ scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM wanted JOIN hits USING (term) JOIN df USING (term), size GROUP BY ALL),
+ best AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scored QUALIFY rank <= 20),
+ r AS (SELECT query_id, vec_id AS id, 0 AS part, rank FROM nearest UNION ALL SELECT query_id, doc_id, 1, rank FROM best)"""
 
 
 def _acts(spark: SparkSession, d: str) -> DataFrame:
     return activities(table(spark, d, "events"))
 
 
-def _query_vector(spark: SparkSession, d: str) -> list[float]:
-    return table(spark, d, "embeddings").orderBy("vec_id").first()["embedding"]
-
-
 def browse_timeline(spark: SparkSession, d: str) -> DataFrame:
     return timeline.sample_uniform(timeline.overlapping(_acts(spark, d), JAN_10, JAN_10 + 5 * timeline.DAY_MS), 5).select("id", "user_id", "app", "start_ms", "end_ms")
 
@@ -124,28 +127,44 @@ def coherence(spark: SparkSession, d: str) -> DataFrame:
     return patterns.coherence(table(spark, d, "embeddings"))
 
 
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 50."""
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def knn(spark: SparkSession, d: str) -> DataFrame:
-    return search.nearest(table(spark, d, "embeddings"), _query_vector(spark, d), 20)
+    return search.nearest_of_each(table(spark, d, "embeddings"), _queries(spark, d), 20)
 
 
 def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return search.nearest(table(spark, d, "embeddings"), _query_vector(spark, d), 20, F.col("label") % 2 == 1)
+    return search.nearest_of_each(table(spark, d, "embeddings").where("label % 2 = 1"), _queries(spark, d), 20)
 
 
 def bm25(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(table(spark, d, "documents"), QUERY_TERMS, 50)
 
 
+def _text_queries(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, term): the three longest words of every document whose id is divisible by 50, of equal ones the first by code points."""
+    words = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(search.terms(F.col("text")))).alias("term"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.length("term")), "term"))
+    return words.withColumn("place", place).where("place <= 3").drop("place")
+
+
+def bm25_each(spark: SparkSession, d: str) -> DataFrame:
+    return search.bm25_of_each(table(spark, d, "documents"), _text_queries(spark, d), 20)
+
+
 def _rankings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return search.ranked(knn(spark, d), "vec_id", F.col("distance"), F.col("vec_id")), search.ranked(bm25(spark, d), "doc_id", F.desc("score"), F.col("doc_id"))
+    return knn(spark, d).withColumnRenamed("vec_id", "id"), bm25_each(spark, d).withColumnRenamed("doc_id", "id")
 
 
 def fused_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.fused([*_rankings(spark, d)], 30)
+    return search.fused_of_each([*_rankings(spark, d)], 30)
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.hybrid(*_rankings(spark, d), 40)
+    return search.hybrid_of_each(*_rankings(spark, d), 30)
 
 
 def page_hosts(spark: SparkSession, d: str) -> DataFrame:
@@ -186,11 +205,12 @@ SQL = {
     "recurrence": f"WITH {_ACTS}, d AS (SELECT user_id, start_ms // 86400000 AS d FROM acts), s AS (SELECT user_id, min(d) AS lo, max(d) AS hi, CASE WHEN max(d) - min(d) < 24 THEN 1 ELSE 7 END AS unit FROM d GROUP BY user_id), e AS (SELECT *, {_WEEK.format(d='lo')} AS blo, {_WEEK.format(d='hi')} AS bhi FROM s), p AS (SELECT user_id, unit, unnest(range(greatest(blo, bhi - 23 * unit), bhi + 1, unit)) AS bucket FROM e), c AS (SELECT user_id, {_WEEK.format(d='d')} AS bucket, count(*) AS n FROM d JOIN s USING (user_id) GROUP BY ALL) SELECT user_id, unit, bucket, coalesce(n, 0) AS n FROM p LEFT JOIN c USING (user_id, bucket)",
     "close_repeats": f"WITH {_ACTS} SELECT id, count(*) OVER (PARTITION BY user_id, app, title ORDER BY start_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY user_id, app, title, start_ms) AS earlier FROM acts",
     "coherence": "WITH x AS (SELECT label, vec_id, unnest(range(0, len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, dim, avg(x) AS m FROM x GROUP BY ALL), n AS (SELECT label, sqrt(sum(m ** 2)) AS norm FROM m GROUP BY label HAVING norm > 0), c AS (SELECT x.label, vec_id, sum(x * m / norm) / sqrt(sum(x ** 2)) AS c FROM x JOIN m ON x.label = m.label AND x.dim = m.dim JOIN n ON n.label = x.label GROUP BY ALL) SELECT label, round(avg(c), 5) AS coherence, count(*) AS members FROM c GROUP BY label",
-    "knn": f"WITH {_VEC} SELECT vec_id, distance FROM near ORDER BY distance, vec_id LIMIT 20",
-    "knn_filtered": f"WITH {_VEC} SELECT vec_id, distance FROM near WHERE label % 2 = 1 ORDER BY distance, vec_id LIMIT 20",
+    "knn": f"WITH {_VEC.format(where='')} SELECT * FROM nearest",
+    "knn_filtered": f"WITH {_VEC.format(where='WHERE label % 2 = 1')} SELECT * FROM nearest",
+    "bm25_each": f"WITH {_VEC.format(where='')}, {_TEXTS} SELECT * FROM best",
     "bm25": f"WITH {_BM25} SELECT * FROM best",
-    "fused_search": f"WITH {_BM25}, {_VEC}, r AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM best UNION ALL (SELECT vec_id, row_number() OVER (ORDER BY distance, vec_id) FROM near ORDER BY distance, vec_id LIMIT 20)) SELECT id, round(sum(1.0 / (60 + rank)), 8) AS score FROM r GROUP BY id ORDER BY score DESC, id LIMIT 30",
-    "hybrid_search": f"WITH {_BM25}, {_VEC}, r AS (SELECT doc_id AS id, 1 AS part, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM best UNION ALL (SELECT vec_id, 0, row_number() OVER (ORDER BY distance, vec_id) FROM near ORDER BY distance, vec_id LIMIT 20)), f AS (SELECT id, min((part, rank)) AS a FROM r GROUP BY id) SELECT id, CAST(row_number() OVER (ORDER BY a) AS INT) AS rank FROM f QUALIFY row_number() OVER (ORDER BY a) <= 40",
+    "fused_search": f"WITH {_VEC.format(where='')}, {_TEXTS}, f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 8) AS score FROM r GROUP BY ALL) SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM f QUALIFY rank <= 30",
+    "hybrid_search": f"WITH {_VEC.format(where='')}, {_TEXTS}, f AS (SELECT query_id, id, min((part, rank)) AS a FROM r GROUP BY ALL) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY a) AS INT) AS rank FROM f QUALIFY rank <= 30",
     "page_hosts": r"WITH h AS (SELECT regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)', 1)), '^www\.', '') AS host FROM pages), b AS (SELECT host, regexp_replace(host, ':[0-9]+$', '') AS bare FROM h WHERE host <> '') SELECT host, CASE WHEN regexp_matches(bare, '^[0-9.]+$|^\[') THEN bare ELSE regexp_extract(bare, '([^.]+\.)?[^.]+$', 0) END AS domain, regexp_matches(bare, '^(localhost|127\..*|10\..*|192\.168\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|\[::1\])$') AS private, count(*) AS n FROM b GROUP BY ALL",
     "label_auc": "WITH d AS (SELECT round(length(text) / 100) AS score, quality = 1 AS pos FROM labels JOIN documents USING (doc_id)), s AS (SELECT score, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS q FROM d GROUP BY score), b AS (SELECT *, coalesce(sum(q) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s) SELECT round(sum(p * (below + q / 2)) / (sum(p) * sum(q)), 6) AS auc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(q) AS BIGINT) AS negatives FROM b",
 }
