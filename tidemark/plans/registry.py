@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL."""
 
-from tidemark.plans import activity, mining, queries, reviews, stores
+from tidemark.plans import activity, evaluation, mining, queries, reviews, stores
 
-QUERIES = {**queries.QUERIES, **reviews.QUERIES, **mining.QUERIES, **stores.QUERIES, **activity.QUERIES}
-SQL = {**queries.SQL, **reviews.SQL, **mining.SQL, **stores.SQL, **activity.SQL}
+QUERIES = {**queries.QUERIES, **reviews.QUERIES, **mining.QUERIES, **stores.QUERIES, **activity.QUERIES, **evaluation.QUERIES}
+SQL = {**queries.SQL, **reviews.SQL, **mining.SQL, **stores.SQL, **activity.SQL, **evaluation.SQL}
