@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.timeline import DAY_MS, day_of
+from tidemark.sources.tables import kept
 
 
 def app_totals(acts: DataFrame, limit: int = 100) -> DataFrame:
@@ -49,22 +50,49 @@ def close_repeats(acts: DataFrame, within_ms: int = 600_000) -> DataFrame:
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
-    """(label, dim, v): unit-length mean vector of each label, a row for each dimension."""
+    """(label, mean): unit-length mean vector of each label. Sums of a dimension are combined before they are shuffled."""
     rows = vectors.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.avg("x").alias("m"))
-    norm = rows.groupBy("label").agg(F.sqrt(F.sum(F.col("m") ** 2)).alias("norm")).where("norm > 0")
-    return rows.join(norm, "label").select("label", "dim", (F.col("m") / F.col("norm")).alias("v"))
+    mean = rows.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("v")).select("label", F.col("v.m").alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return mean.withColumn("norm", norm).where("norm > 0").select("label", F.transform("v", lambda x: x / F.col("norm")).alias("mean"))
 
 
 def coherence(vectors: DataFrame) -> DataFrame:
-    """Mean cosine of a label's members to its centroid, and the number of members."""
-    rows = vectors.select("label", "vec_id", F.posexplode("embedding").alias("dim", "x")).join(centroids(vectors), ["label", "dim"])
-    cos = rows.groupBy("label", "vec_id").agg((F.sum(F.col("x") * F.col("v")) / F.sqrt(F.sum(F.col("x").cast("double") ** 2))).alias("c"))
-    return cos.groupBy("label").agg(F.round(F.avg("c"), 5).alias("coherence"), F.count(F.lit(1)).alias("members"))
+    """Mean cosine of a label's members to its centroid, and the number of members. Each vector is one row, multiplied by one of the centroids."""
+    rows = vectors.select("label", F.transform("embedding", lambda x: x.cast("double")).alias("x")).join(centroids(vectors), "label")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    cos = total(F.zip_with("x", "mean", lambda a, b: a * b)) / F.sqrt(total(F.transform("x", lambda v: v * v)))
+    return rows.select("label", cos.alias("c")).groupBy("label").agg(F.round(F.avg("c"), 5).alias("coherence"), F.count(F.lit(1)).alias("members"))
+
+
+def score_counts(scored: DataFrame) -> DataFrame:
+    """(score, p, q, p_below, q_below): positives and negatives of each score of (score, positive), and of all smaller ones.
+
+    Scores are dealt by ranges; running counts go within a range, and the totals of the ranges before it, one row each, are added.
+    """
+    s = scored.where("score is not null and positive is not null").groupBy("score").agg(F.sum(F.col("positive").cast("bigint")).alias("p"), F.sum((~F.col("positive")).cast("bigint")).alias("q"))
+    s = kept(s.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = s.groupBy("part").agg(F.sum("p").alias("tp"), F.sum("q").alias("tq")).select("part", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("tq").over(before), F.lit(0)).alias("bq"))
+    own = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    rows = s.withColumn("op", F.coalesce(F.sum("p").over(own), F.lit(0))).withColumn("oq", F.coalesce(F.sum("q").over(own), F.lit(0))).join(parts, "part")
+    return rows.select("score", "p", "q", (F.col("op") + F.col("bp")).alias("p_below"), (F.col("oq") + F.col("bq")).alias("q_below"))
 
 
 def auc(scored: DataFrame) -> DataFrame:
     """Area under the curve of (score, positive): by counts of equal scores, so no pair is formed."""
-    s = scored.groupBy("score").agg(F.sum(F.col("positive").cast("bigint")).alias("p"), F.sum((~F.col("positive")).cast("bigint")).alias("q"))
-    below = s.select("p", "q", F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    won = F.sum(F.col("p") * (F.col("b") + F.col("q") / 2.0))
-    return below.agg(F.round(won / (F.sum("p") * F.sum("q")), 6).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
+    won = F.sum(F.col("p") * (F.col("q_below") + F.col("q") / 2.0))
+    return score_counts(scored).agg(F.round(won / (F.sum("p") * F.sum("q")), 6).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
+
+
+def threshold_sweep(scored: DataFrame, fixed: float) -> DataFrame:
+    """One row: the score that gives the best F1 if all at it or above count as positive (of ties the smallest), that F1, the F1 at a fixed score, and the mean scores of positives and negatives."""
+    counts = score_counts(scored)
+    total = counts.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("all_p"), F.sum("q").alias("all_q"), (F.sum(F.col("score") * F.col("p")) / F.sum("p")).alias("pos_mean"), (F.sum(F.col("score") * F.col("q")) / F.sum("q")).alias("neg_mean"))
+    rows = counts.join(F.broadcast(total))  # one row
+    hit, wrong = F.col("all_p") - F.col("p_below"), F.col("all_q") - F.col("q_below")
+    f1 = F.when(hit > 0, 2 * hit / (2 * hit + wrong + F.col("p_below"))).otherwise(0.0)
+    best = F.min(F.struct((-F.round(f1, 9)).alias("less"), F.col("score").alias("score")))
+    at = F.min_by(f1, F.when(F.col("score") >= fixed, F.col("score")))
+    out = rows.agg(best.alias("b"), F.coalesce(at, F.lit(0.0)).alias("f1_fixed"), F.first("pos_mean").alias("pos_mean"), F.first("neg_mean").alias("neg_mean"), F.max("score").alias("top"))
+    return out.select(F.col("b.score").alias("best_score"), F.round(-F.col("b.less"), 6).alias("best_f1"), F.round(F.when(F.col("top") >= fixed, F.col("f1_fixed")).otherwise(0.0), 6).alias("f1_fixed"), F.round("pos_mean", 6).alias("pos_mean"), F.round("neg_mean", 6).alias("neg_mean"))
