@@ -77,7 +77,9 @@ def bucketed(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     finally:
         reset()
     spark.sql(f"DROP TABLE {name}")  # the files stay
-    return read_bucketed(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), keys, n)
+    out = read_bucketed(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), keys, n)
+    out._written_to = path
+    return out
 
 
 def read_bucketed(spark: SparkSession, path: str, columns: str, keys: list[str], n: int) -> DataFrame:

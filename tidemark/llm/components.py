@@ -23,7 +23,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, component) for every vertex of the edge table (u, v) but the smallest of each component, whose name is that smallest vertex.
 
     Edges may repeat, in either direction; loops and edges with a null end are left out. No vertex's edges are gathered in one place: the
@@ -31,11 +31,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     e = cut(edges.select("u", "v").where("u is not null and v is not null and u != v").distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:  # every round but the last brings a vertex nearer to its component's smallest
         last, e = e, cut(_small_star(_large_star(e)), "stars")
         discard(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select("u", F.col("v").alias("component"))
         before = now
-    raise RuntimeError("components did not settle")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_limits, chunks, cut, discard, mix, texts_of
+from tidemark.llm.common import arrow_limits, bucketed, chunks, cut, discard, mix, shared_dir, texts_of
 from tidemark.llm.components import components
 
 BITS, THRESHOLD, SEED = 31, 3, 42
@@ -365,7 +365,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     stay and link nothing.
     """
     rows = cut(docs.withColumn("__uid", F.monotonically_increasing_id()), "rows")
-    sets = cut(shingle_sets(rows.where(F.col(id_col).isNotNull()), id_col, text, width), "sets")
+    # Sets are joined by __uid again and again: they are shuffled once, and then only pairs are.
+    sets = bucketed(shingle_sets(rows.where(F.col(id_col).isNotNull()), id_col, text, width), f"{shared_dir(docs.sparkSession)}/sets", ["__uid"])
     one = F.min(F.struct("__id", "th", "__uid", "n", "bands")).alias("r")
     vertices = cut(sets.groupBy("key").agg(one).select("r.*"), "vertices")
     found = similar(sets, vertices, least).withColumnRenamed("u", "__uid")
