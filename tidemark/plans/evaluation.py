@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import replies
-from tidemark.operators import frames, matching
+from tidemark.operators import frames, matching, scores
 from tidemark.plans.queries import _ACTS, _acts
 from tidemark.sources.tables import table
 
@@ -47,6 +47,31 @@ def reply_values(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object(replies.reply_json(said), "$.k").cast("bigint").alias("k"))
 
 
+def task_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that suppliers got back are golden sets, those of another kind of return are detections of the same suppliers; a seventh of the suppliers is a fixture."""
+    lines = table(spark, d, "lineitem").select((F.col("l_suppkey") % 7).alias("fixture"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("item"), "l_returnflag")
+    verdict = F.element_at(F.array(*map(F.lit, ("keep", "reject", "unreviewed"))), (F.col("s") % 3 + 1).cast("int"))
+    golden = lines.where("l_returnflag = 'R'").select("fixture", F.col("s").alias("g"), verdict.alias("verdict"), "item")
+    return scores.task_scores(golden, lines.where("l_returnflag = 'A'").select("fixture", F.col("s").alias("d"), "item"), 0.08)
+
+
+def mean_task_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scores.mean_scores(task_scores(spark, d), ["recall", "id_precision", "precision", "iou"])
+
+
+_SCORES = """go AS (SELECT DISTINCT l_suppkey % 7 AS fixture, l_suppkey AS g, CASE l_suppkey % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'reject' ELSE 'unreviewed' END AS verdict, l_partkey AS item FROM lineitem WHERE l_returnflag = 'R'),
+ de AS (SELECT DISTINCT l_suppkey % 7 AS fixture, l_suppkey AS d, l_partkey AS item FROM lineitem WHERE l_returnflag = 'A'), gs AS (SELECT fixture, g, verdict, count(*) AS n_g FROM go GROUP BY ALL), ds AS (SELECT fixture, d, count(*) AS n_d FROM de GROUP BY ALL),
+ sh AS (SELECT go.fixture, g, verdict, d, count(*) AS n FROM go JOIN de ON go.fixture = de.fixture AND go.item = de.item GROUP BY ALL), s2 AS (SELECT sh.*, n_g, n_d, n / n_g AS ratio FROM sh JOIN gs USING (fixture, g, verdict) JOIN ds USING (fixture, d)),
+ be AS (SELECT * FROM (SELECT * FROM s2 WHERE verdict = 'keep' QUALIFY row_number() OVER (PARTITION BY fixture, g ORDER BY n DESC, d) = 1) WHERE ratio >= 0.08),
+ ex AS (SELECT fixture, d, count(*) AS many FROM be GROUP BY ALL), mo AS (SELECT fixture, d, max(ratio) FILTER (verdict = 'reject') AS rj, max(ratio) FILTER (verdict = 'unreviewed') AS un, max(ratio) AS anyr, arg_min(g, (-ratio, g)) FILTER (verdict = 'reject') AS own FROM s2 GROUP BY ALL),
+ re AS (SELECT ds.fixture, ds.d, own, CASE WHEN rj >= 0.08 THEN 'rejects' WHEN un >= 0.08 THEN 'unreviewed' WHEN anyr IS NULL THEN 'new' ELSE 'grazes' END AS kind FROM ds LEFT JOIN mo USING (fixture, d) WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.fixture = ds.fixture AND ex.d = ds.d)),
+ ci AS (SELECT de.fixture, EXISTS (SELECT 1 FROM go WHERE go.fixture = de.fixture AND go.item = de.item AND verdict = 'keep') AS k, EXISTS (SELECT 1 FROM go WHERE go.fixture = de.fixture AND go.item = de.item AND verdict = 'reject') AS r FROM de),
+ fx AS (SELECT fixture FROM gs UNION SELECT fixture FROM ds), o AS (SELECT fixture, (SELECT count(*) FROM gs WHERE gs.fixture = fx.fixture AND verdict = 'keep') AS positives, (SELECT count(*) FROM be WHERE be.fixture = fx.fixture) AS found, (SELECT count(*) FROM gs WHERE gs.fixture = fx.fixture AND verdict = 'reject') AS negatives,
+ (SELECT count(DISTINCT own) FROM re WHERE re.fixture = fx.fixture AND kind = 'rejects') AS rejected_again, (SELECT count(*) FROM ds WHERE ds.fixture = fx.fixture) AS detections, (SELECT count(*) FROM ex WHERE ex.fixture = fx.fixture) AS explained, (SELECT count(*) FROM ex WHERE ex.fixture = fx.fixture AND many > 1) AS bundled,
+ (SELECT count(*) FROM re WHERE re.fixture = fx.fixture AND kind = 'rejects') AS rejects, (SELECT count(*) FROM re WHERE re.fixture = fx.fixture AND kind = 'unreviewed') AS unreviewed, (SELECT count(*) FROM re WHERE re.fixture = fx.fixture AND kind = 'grazes') AS grazes, (SELECT count(*) FROM re WHERE re.fixture = fx.fixture AND kind = 'new') AS "new",
+ (SELECT count(*) FROM ci WHERE ci.fixture = fx.fixture) AS cited, (SELECT count(*) FROM ci WHERE ci.fixture = fx.fixture AND k) AS cited_keep, (SELECT count(*) FROM ci WHERE ci.fixture = fx.fixture AND r AND NOT k) AS cited_reject,
+ (SELECT round(avg(ratio), 6) FROM be WHERE be.fixture = fx.fixture) AS recall_of_found, (SELECT round(avg(n / n_d), 6) FROM be WHERE be.fixture = fx.fixture) AS precision, (SELECT round(avg(n / (n_g + n_d - n)), 6) FROM be WHERE be.fixture = fx.fixture) AS iou FROM fx),
+ sc AS (SELECT *, CASE WHEN positives > 0 THEN round(found / positives, 6) ELSE 0.0 END AS recall, CASE WHEN cited > 0 THEN round(cited_keep / cited, 6) END AS id_precision FROM o)"""
 _PAIRS = f"""{_ACTS}, s AS (SELECT user_id, id, app, title, start_ms, start_ms + (end_ms - start_ms) * {STRETCH} AS end_ms FROM acts),
  pairs AS (SELECT g.user_id, g.id AS a, p.id AS b, least(g.end_ms, p.end_ms) - greatest(g.start_ms, p.start_ms) AS overlap_ms,
  (least(g.end_ms, p.end_ms) - greatest(g.start_ms, p.start_ms)) / greatest(1, least(g.end_ms - g.start_ms, p.end_ms - p.start_ms)) AS ratio, CASE WHEN g.title <> '' AND g.title = p.title THEN 1 ELSE 0 END AS same
@@ -65,6 +90,8 @@ SQL = {
  SELECT f.user_id, f.i, f.id, CASE WHEN far THEN f.h ELSE st.kept END, far, CASE WHEN far THEN st.many + 1 ELSE st.many END, CASE WHEN far THEN f.i ELSE st.at_i END FROM st JOIN f ON f.user_id = st.user_id AND f.i = st.i + 1 AND f.i < f.n, LATERAL (SELECT hamming(st.kept, f.h) * 100.0 / 8 >= 50 AS far)),
  tail AS (SELECT st.user_id, st.at_i, st.many, hamming(st.kept, f.h) * 100.0 / 8 AS d FROM st JOIN f ON f.user_id = st.user_id AND f.i = f.n AND st.i = f.n - 1)
  SELECT f.user_id, f.id FROM f LEFT JOIN st ON st.user_id = f.user_id AND st.i = f.i LEFT JOIN tail ON tail.user_id = f.user_id WHERE f.i = f.n OR (st.k AND NOT coalesce(tail.d < 50 AND tail.many > 1 AND tail.at_i = f.i, false))""",
+    "task_scores": f"WITH {_SCORES} SELECT * FROM sc",
+    "mean_task_scores": f"WITH {_SCORES} SELECT count(*) AS rows, round(avg(recall), 6) AS recall, round(avg(id_precision), 6) AS id_precision, round(avg(precision), 6) AS precision, round(avg(iou), 6) AS iou FROM sc",
     "reply_values": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 }
 QUERIES = {name: globals()[name] for name in SQL}
