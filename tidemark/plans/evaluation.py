@@ -9,6 +9,7 @@ from tidemark.functions import replies
 from tidemark.operators import frames, matching, scores
 from tidemark.plans.queries import _ACTS, _acts
 from tidemark.sources.tables import table
+from tidemark.streaming import jobs
 
 #: Activities last so many times as long as in the table, so that they meet.
 STRETCH, SLOT_MS = 500, 7_200_000
@@ -59,6 +60,20 @@ def mean_task_scores(spark: SparkSession, d: str) -> DataFrame:
     return scores.mean_scores(task_scores(spark, d), ["recall", "id_precision", "precision", "iou"])
 
 
+def job_states(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as the life of a job: a signup queues it, views claim it, purchases complete it, errors fail it, clicks hand it back."""
+    what = F.element_at(F.create_map(*(F.lit(x) for kv in (("signup", "enqueue"), ("view", "claim"), ("purchase", "complete"), ("error", "fail"), ("click", "release")) for x in kv)), F.col("app"))
+    events = _acts(spark, d).select("user_id", F.col("start_ms").alias("at"), "id", what.alias("what"), F.concat(F.lit("error "), F.col("title")).alias("error"))
+    return jobs.job_states(events, ["user_id"], 3, 40_000_000)
+
+
+_JOBS = f"""{_ACTS}, e AS (SELECT user_id, start_ms AS t, app, 'error ' || title AS err, row_number() OVER (PARTITION BY user_id ORDER BY start_ms, id) AS i FROM acts),
+ st AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS status, CAST(0 AS BIGINT) AS attempts, CAST(NULL AS BIGINT) AS enqueued_ms, CAST(NULL AS BIGINT) AS started_ms, CAST(NULL AS BIGINT) AS completed_ms, CAST(NULL AS BIGINT) AS next_ms, CAST(NULL AS VARCHAR) AS last_error FROM e UNION ALL
+ SELECT e.user_id, e.i, CASE WHEN q THEN 'pending' WHEN c THEN 'running' WHEN f THEN 'completed' WHEN x THEN CASE WHEN attempts < 3 THEN 'pending' ELSE 'failed' END WHEN b THEN 'pending' ELSE status END,
+ CASE WHEN c THEN attempts + 1 WHEN b THEN greatest(attempts - 1, 0) ELSE attempts END, CASE WHEN q THEN e.t ELSE enqueued_ms END, CASE WHEN c THEN e.t WHEN b THEN NULL ELSE started_ms END, CASE WHEN f THEN e.t ELSE completed_ms END,
+ CASE WHEN x THEN CASE WHEN attempts < 3 THEN e.t + 40000000 END WHEN f OR b THEN NULL ELSE next_ms END, CASE WHEN x OR b THEN e.err WHEN f THEN NULL ELSE last_error END
+ FROM st JOIN e ON e.user_id = st.user_id AND e.i = st.i + 1, LATERAL (SELECT e.app = 'signup' AND status IS NULL AS q, e.app = 'view' AND status IS NOT DISTINCT FROM 'pending' AND (next_ms IS NULL OR next_ms <= e.t) AS c,
+ e.app = 'purchase' AND status IS NOT DISTINCT FROM 'running' AS f, e.app = 'error' AND status IS NOT DISTINCT FROM 'running' AS x, e.app = 'click' AND status IS NOT DISTINCT FROM 'running' AS b))"""
 _SCORES = """go AS (SELECT DISTINCT l_suppkey % 7 AS fixture, l_suppkey AS g, CASE l_suppkey % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'reject' ELSE 'unreviewed' END AS verdict, l_partkey AS item FROM lineitem WHERE l_returnflag = 'R'),
  de AS (SELECT DISTINCT l_suppkey % 7 AS fixture, l_suppkey AS d, l_partkey AS item FROM lineitem WHERE l_returnflag = 'A'), gs AS (SELECT fixture, g, verdict, count(*) AS n_g FROM go GROUP BY ALL), ds AS (SELECT fixture, d, count(*) AS n_d FROM de GROUP BY ALL),
  sh AS (SELECT go.fixture, g, verdict, d, count(*) AS n FROM go JOIN de ON go.fixture = de.fixture AND go.item = de.item GROUP BY ALL), s2 AS (SELECT sh.*, n_g, n_d, n / n_g AS ratio FROM sh JOIN gs USING (fixture, g, verdict) JOIN ds USING (fixture, d)),
@@ -92,6 +107,7 @@ SQL = {
  SELECT f.user_id, f.id FROM f LEFT JOIN st ON st.user_id = f.user_id AND st.i = f.i LEFT JOIN tail ON tail.user_id = f.user_id WHERE f.i = f.n OR (st.k AND NOT coalesce(tail.d < 50 AND tail.many > 1 AND tail.at_i = f.i, false))""",
     "task_scores": f"WITH {_SCORES} SELECT * FROM sc",
     "mean_task_scores": f"WITH {_SCORES} SELECT count(*) AS rows, round(avg(recall), 6) AS recall, round(avg(id_precision), 6) AS id_precision, round(avg(precision), 6) AS precision, round(avg(iou), 6) AS iou FROM sc",
+    "job_states": f"WITH RECURSIVE {_JOBS} SELECT user_id, status, attempts, enqueued_ms, started_ms, completed_ms, next_ms, last_error FROM st WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1",
     "reply_values": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 }
 QUERIES = {name: globals()[name] for name in SQL}
