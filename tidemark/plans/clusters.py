@@ -60,7 +60,7 @@ SQL = {
     "member_digest": f"WITH {_LEFT} SELECT user_id AS cluster, id, title, start_ms, CAST(row_number() OVER (PARTITION BY user_id ORDER BY start_ms, id) AS INT) AS place FROM lf",
     "recurring_labels": "SELECT user_id AS cluster, 'user ' || user_id AS label, count(*) AS seen FROM events WHERE user_id % 2 = 0 GROUP BY user_id HAVING count(*) >= 2",
     "pruned_counts": f"WITH {_LEFT} SELECT (SELECT count(*) FROM lf) AS memberships, (SELECT count(*) FROM lf WHERE title <> '') AS signatures, (SELECT count(DISTINCT user_id) FROM lf) AS clusters, (SELECT count(DISTINCT user_id) FROM acts a WHERE NOT EXISTS (SELECT 1 FROM lf WHERE lf.id = a.id) AND EXISTS (SELECT 1 FROM lf WHERE lf.user_id = a.user_id)) AS touched",
-    "cited_lines": "WITH k AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS id FROM lineitem WHERE l_returnflag = 'N'), c AS (SELECT l_orderkey AS o, l_partkey AS id, max(l_linenumber) AS n FROM lineitem GROUP BY ALL) SELECT o, string_agg(CAST(id AS VARCHAR), ',' ORDER BY n DESC) AS ids FROM c JOIN k USING (o, id) GROUP BY o",
+    "cited_lines": "WITH k AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS id FROM lineitem WHERE l_returnflag = 'N'), c AS (SELECT l_orderkey AS o, l_partkey AS id, max(l_linenumber) AS n FROM lineitem GROUP BY ALL) SELECT o, string_agg(CAST(id AS VARCHAR), ',' ORDER BY n DESC, id DESC) AS ids FROM c JOIN k USING (o, id) GROUP BY o",
     "merged_lists": "WITH f AS (SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1), n AS (SELECT DISTINCT l_suppkey, unnest([l_linenumber, l_linenumber + 1]) AS x FROM lineitem), l AS (SELECT l_suppkey, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS lines FROM n GROUP BY 1) SELECT * FROM f JOIN l USING (l_suppkey)",
     "id_aliases": f"WITH {_ACTS}, m AS (SELECT user_id, title, min((start_ms, app)) AS f FROM acts GROUP BY ALL) SELECT user_id, title, 'a' || row_number() OVER (PARTITION BY user_id ORDER BY f, title) AS alias FROM m",
     "as_of_forward": f"WITH {_ACTS}, {_SIDES} SELECT user_id, t, a AS match FROM m",
