@@ -140,3 +140,28 @@ def test_replies(spark):
     arrays = {'["a", "b"]': ["a", "b"], '["a", 1, null, {"x": 2}, "c"]': ["a", "c"], "[]": [], '{"a": 1}': [], "nope": [], None: [], '"a"': []}
     df = spark.createDataFrame([(i, x) for i, x in enumerate(arrays)], "i int, t string")
     assert [r.v for r in df.select("i", replies.string_array(F.col("t")).alias("v")).orderBy("i").collect()] == list(arrays.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leaked_tails(spark, seed):
+    r = random.Random(seed)
+    gray = lambda: r.choice([None, [], [r.choice([0, 40, 250]) for _ in range(2)], [r.choice([0, 40, 250]) for _ in range(2)], [r.choice([0, 3, 250]) for _ in range(2)], [9]])
+    rows = [(k, t, 100 * k + t, gray()) for k in range(60) for t in range(r.randint(0, 7))]
+    after = [(k, 50 + t, 9000 + 100 * k + t, gray()) for k in range(60) for t in range(r.randint(0, 4))]
+
+    def apart(a, b):
+        return None if not a or not b or len(a) != len(b) else sum(abs(x - y) for x, y in zip(a, b, strict=True)) / len(a) / 255 * 100
+
+    want = []
+    for k in range(60):
+        own, nxt = ([x[3] for x in s if x[0] == k] for s in (rows, after))
+        many = min(3, len(own) - 1)
+        body, tail = own[: len(own) - many] if many > 0 else own, own[len(own) - many :] if many > 0 else []
+        for back, g in enumerate(reversed(tail)):
+            near = [[d for d in (apart(g, x) for x in refs) if d is not None] for refs in (nxt[:2], body[-2:])]
+            if not all(near) or min(near[0]) - min(near[1]) >= -0.5:
+                break
+            want.append((k, 100 * k + len(own) - 1 - back))
+    schema = "k long, at long, id long, gray array<int>"
+    got = frames.leaked_tails(spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(after, schema), ["k"])
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.streaming import folds
@@ -73,3 +73,23 @@ def thinned(frames: DataFrame, key: str, least: float) -> DataFrame:
     length, are kept. A task holds two frames of a key at a time.
     """
     return folds.batch(frames.select(key, "at", "id", "hash"), [key], ["at", "id", "hash"], lambda k: Thinner(least), "at bigint, id bigint")
+
+
+def leaked_tails(frames: DataFrame, after: DataFrame, keys: list[str], candidates: int = 3, references: int = 2, margin: float = 0.5) -> DataFrame:
+    """(keys, id): last frames of an activity (keys, at, id, gray) that show what comes after it: from the end back, those whose luminance is nearer by more
+    than `margin` per cent to one of the first frames after it (keys, at, id, gray) than to one of its own just before the candidates.
+
+    At most `candidates` frames are looked at and never all; the first that isn't nearer, or can't be compared, ends the tail. Only the last few
+    frames of an activity, and the first few after it, are gathered.
+    """
+    newest = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("id"))
+    rows = frames.withColumn("r", F.row_number().over(newest)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col("r") <= candidates + references)
+    rows = rows.withColumn("many", F.least(F.lit(candidates), F.col("n") - 1))
+    own = rows.where((F.col("r") > F.col("many")) & (F.col("r") <= F.col("many") + references)).groupBy(*keys).agg(F.collect_list("gray").alias("own"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("at", "id"))
+    next_ = after.withColumn("r", first).where(F.col("r") <= references).groupBy(*keys).agg(F.collect_list("gray").alias("next"))
+    tail = rows.where(F.col("r") <= F.col("many")).join(own, keys).join(next_, keys)
+    nearest = lambda refs: F.array_min(F.transform(refs, lambda g: luminance_difference(F.col("gray"), g)))
+    leaks = F.coalesce(nearest(F.col("next")) - nearest(F.col("own")) < -margin, F.lit(False))
+    so_far = F.min(leaks.cast("int")).over(Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    return tail.withColumn("gone", so_far).where("gone = 1").select(*keys, "id")

@@ -41,6 +41,14 @@ def thinned_frames(spark: SparkSession, d: str) -> DataFrame:
     return frames.thinned(_acts(spark, d).select("user_id", F.col("start_ms").alias("at"), "id", look.alias("hash")), "user_id", 50.0).select("user_id", "id")
 
 
+def leaked_tails(spark: SparkSession, d: str) -> DataFrame:
+    """A user's day is an activity, whose frames are its events; what comes after is the day after."""
+    length = F.col("end_ms") - F.col("start_ms")
+    gray = F.array(length % 256, F.floor(length / 7) % 256, F.floor(length / 49) % 256).cast("array<int>")
+    rows = _acts(spark, d).select("user_id", F.floor(F.col("start_ms") / 86_400_000).alias("day"), F.col("start_ms").alias("at"), "id", gray.alias("gray"))
+    return frames.leaked_tails(rows, rows.withColumn("day", F.col("day") - 1), ["user_id", "day"]).select("user_id", "id")
+
+
 def reply_values(spark: SparkSession, d: str) -> DataFrame:
     """The JSON of events, as models write it: in a fence, alone, or amid words."""
     fence = F.concat(F.lit("Here it is:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
@@ -108,6 +116,11 @@ SQL = {
     "task_scores": f"WITH {_SCORES} SELECT * FROM sc",
     "mean_task_scores": f"WITH {_SCORES} SELECT count(*) AS rows, round(avg(recall), 6) AS recall, round(avg(id_precision), 6) AS id_precision, round(avg(precision), 6) AS precision, round(avg(iou), 6) AS iou FROM sc",
     "job_states": f"WITH RECURSIVE {_JOBS} SELECT user_id, status, attempts, enqueued_ms, started_ms, completed_ms, next_ms, last_error FROM st WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1",
+    "leaked_tails": f"""WITH {_ACTS}, g AS (SELECT user_id, start_ms // 86400000 AS day, start_ms AS t, id, [(end_ms - start_ms) % 256, (end_ms - start_ms) // 7 % 256, (end_ms - start_ms) // 49 % 256] AS gray FROM acts),
+ r AS (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY t DESC, id DESC) AS r, row_number() OVER (PARTITION BY user_id, day ORDER BY t, id) AS f, count(*) OVER (PARTITION BY user_id, day) AS n FROM g), c AS (SELECT *, least(3, n - 1) AS many FROM r),
+ p AS (SELECT a.user_id, a.day, a.id, a.r, min((abs(a.gray[1] - b.gray[1]) + abs(a.gray[2] - b.gray[2]) + abs(a.gray[3] - b.gray[3])) / 3 / 255 * 100) FILTER (b.day = a.day) AS own, min((abs(a.gray[1] - b.gray[1]) + abs(a.gray[2] - b.gray[2]) + abs(a.gray[3] - b.gray[3])) / 3 / 255 * 100) FILTER (b.day = a.day + 1) AS nxt
+ FROM c a JOIN c b ON a.user_id = b.user_id AND a.r <= a.many AND ((b.day = a.day AND b.r > a.many AND b.r <= a.many + 2) OR (b.day = a.day + 1 AND b.f <= 2)) GROUP BY ALL)
+ SELECT user_id, id FROM (SELECT *, min(CASE WHEN coalesce(nxt - own < -0.5, false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, day ORDER BY r ROWS UNBOUNDED PRECEDING) AS gone FROM p) WHERE gone = 1""",
     "reply_values": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 }
 QUERIES = {name: globals()[name] for name in SQL}
