@@ -132,7 +132,7 @@ def test_export(spark, tmp_path):
 def test_replies(spark):
     cases = {
         'Sure:\n```json\n{"a": 1}\n```\nand ```[2]```': '{"a": 1}', '```\n[1, 2]\n```': "[1, 2]", ' {"a": {"b": 2}} \n': '{"a": {"b": 2}}', 'x {"a": [1]} y': '{"a": [1]}', 'so [1, {"b": 2}] it is': '[1, {"b": 2}]',
-        "```json\nnot it\n``` but {\"c\": 3}": '{"c": 3}', "no": None, "{broken": None, "": None, None: None, '"text"': None, "12": None, "[1] and {2": "[1]",
+        "```json\nnot it\n``` but {\"c\": 3}": '{"c": 3}', "no": None, "{broken": None, "": None, None: None, '"text"': None, "12": None, "[1] and {2": "[1]", "[1], [2]": None, "[1] and [2]": None, '{"a": 1} {"a": 2}': None,
     }
     df = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, t string")
     got = [r.v for r in df.select("i", replies.reply_json(F.col("t")).alias("v")).orderBy("i").collect()]

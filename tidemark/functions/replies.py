@@ -9,9 +9,10 @@ _FENCE = r"(?s)```(?:json|JSON)?\s*(.*?)```"
 
 
 def _sound(text: Column) -> Column:
-    """The text without blanks around if it is a JSON object or array, else null."""
+    """The text without blanks around if it is a JSON object or array and nothing else, else null. The parser lets anything follow, so the text is parsed as the only entry of an array."""
     bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(bare.rlike(r"(?s)^[\[{]") & F.try_parse_json(bare).isNotNull(), bare)
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]"))), "$", "array<variant>")
+    return F.when(bare.rlike(r"(?s)^[\[{]") & (F.size(alone) == 1), bare)
 
 
 def reply_json(text: Column) -> Column:
