@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_limits, bucketed, chunks, cut, discard, mix, shared_dir, texts_of
+from tidemark.llm.common import arrow_limits, chunks, cut, discard, mix, texts_of
 from tidemark.llm.components import components
 
 BITS, THRESHOLD, SEED = 31, 3, 42
@@ -259,7 +259,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     first, second = (sets.select(F.col("__uid").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "uv")
-    return pairs.join(first, "u").join(second, "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u bigint, v bigint")
+    # Merged at every size: pairs are never sent to all tasks.
+    return pairs.join(first.hint("merge"), "u").join(second.hint("merge"), "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u bigint, v bigint")
 
 
 def rarest_shingles(vertices: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -279,7 +280,7 @@ def rarest_shingles(vertices: DataFrame, sets: DataFrame, least: float) -> DataF
                 at = pa.array(np.repeat(np.arange(lo, lo + len(part)), [len(x) for x in part]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(part).astype(np.int64))], ["__uid", "n", "token"])
 
-    rows = sets.select("__uid", "shingles").join(vertices, "__uid").select("__uid", "n", "shingles")
+    rows = sets.select("__uid", "shingles").join(vertices.hint("merge"), "__uid").select("__uid", "n", "shingles")
     tokens = cut(rows.mapInArrow(run, "__uid bigint, n bigint, token bigint"), "tokens")
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     one = Window.partitionBy("__uid")
@@ -365,8 +366,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     stay and link nothing.
     """
     rows = cut(docs.withColumn("__uid", F.monotonically_increasing_id()), "rows")
-    # Sets are joined by __uid again and again: they are shuffled once, and then only pairs are.
-    sets = bucketed(shingle_sets(rows.where(F.col(id_col).isNotNull()), id_col, text, width), f"{shared_dir(docs.sparkSession)}/sets", ["__uid"])
+    sets = cut(shingle_sets(rows.where(F.col(id_col).isNotNull()), id_col, text, width), "sets")
     one = F.min(F.struct("__id", "th", "__uid", "n", "bands")).alias("r")
     vertices = cut(sets.groupBy("key").agg(one).select("r.*"), "vertices")
     found = similar(sets, vertices, least).withColumnRenamed("u", "__uid")
