@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_limits, chunks, ddl, texts_of, with_columns
 
 #: Ids of so many pre-tokens are kept by a worker before it starts afresh; longer pre-tokens than this many signs aren't kept.
-KEPT, KEPT_SIGNS = 1 << 18, 48
+KEPT, KEPT_SIGNS = 1 << 17, 48
+#: Texts of so many bytes are divided into pre-tokens at a time.
+TEXT_BYTES = 4 << 20
 
 
 class RankQueue:
@@ -198,7 +202,8 @@ def newer_signs() -> str:
     import regex
     import tiktoken
 
-    signs, out = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000), ""
+    codes = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4")
+    signs, out = codes.tobytes().decode("utf-32-le"), ""
     for kind in (r"\p{L}", r"\p{N}"):
         library = tiktoken.Encoding("signs", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
         known = set(bytes(library.encode_ordinary(signs)).decode())
@@ -216,17 +221,26 @@ class Coder:
         with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {i: x for x, i in self.ranks.items()}
-        newer = newer_signs()
-        self._newer, self._plain = frozenset(newer), dict.fromkeys(map(ord, newer), "\ue000")
         self._pieces, self._queue, self._kept = regex.compile(pattern or public_tokenizers.PATTERN), RankQueue(max(self.ranks.values())), {}
-        self._pairs = Pairs(self.ranks)
+
+    @cached_property
+    def _pairs(self) -> Pairs:
+        return Pairs(self.ranks)
+
+    @cached_property
+    def _newer(self) -> frozenset[str]:
+        return frozenset(newer_signs())
+
+    @cached_property
+    def _plain(self) -> dict[int, str]:
+        return dict.fromkeys(map(ord, self._newer), "\ue000")
 
     def _split(self, text: str) -> list[str]:
         if not text.isascii() and not self._newer.isdisjoint(text):
             return [text[m.start() : m.end()] for m in self._pieces.finditer(text.translate(self._plain))]
         return self._pieces.findall(text)
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         split = [self._split(x) for x in texts]
         wanted = set().union(*split)
         if len(self._kept) + len(wanted) > KEPT:
@@ -240,19 +254,14 @@ class Coder:
                 kept[m] = [whole]
         if new:
             kept.update(zip(new, merged_all([m.encode() for m in new], self.ranks, self._pairs, self._queue), strict=True))
-        out = []
-        for pieces in split:
-            ids: list[int] = []
-            for m in pieces:
-                ids += kept[m]
-            out.append(ids)
+        out = [np.fromiter(chain.from_iterable(map(kept.__getitem__, pieces)), np.int32) for pieces in split]
         for m in new:
             if len(m) > KEPT_SIGNS:
                 del kept[m]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids; an id that the file lacks is a KeyError."""
@@ -287,12 +296,10 @@ def encoded(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
         coder = _coder(path, pattern)
         for batch in batches:
             texts = texts_of(batch.column(len(keep)))
-            for lo, hi in chunks(texts):
-                flat, ends = [], [0]
-                for own in coder.encode_all([x.decode("utf-8", "replace") for x in texts[lo:hi]]):
-                    flat += own
-                    ends.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+            for lo, hi in chunks(texts, TEXT_BYTES):
+                own = coder.encode_all([x.decode("utf-8", "replace") for x in texts[lo:hi]])
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))
                 some = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(keep))), ids], [*keep, "ids"])
 
