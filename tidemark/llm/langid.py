@@ -122,7 +122,7 @@ def likelihoods(langs: list[str], x: np.ndarray, n: np.ndarray) -> dict[str, Lik
     for code in sorted(set(langs)):
         own = np.array([y == code for y in langs])
         first, second = (own & half, own & ~half) if (own & half).any() and (own & ~half).any() else (own, own)
-        p = x[first].mean(0) + 1e-5
+        p = x[first].mean(0, dtype=np.float64) + 1e-5
         logs = np.log(p / p.sum())
         mean = float(p @ logs / p.sum())
         out[code] = Likelihood(logs.astype(np.float32), mean, float(p @ logs**2 / p.sum()) - mean**2)
@@ -207,8 +207,7 @@ def fit(langs: list[str], x: np.ndarray, families: dict[str, tuple[str, ...]] |
     for code in sorted(set(langs)):
         groups.setdefault(of.get(code, code), []).append(code)
     levels = [groups[k] for k in sorted(groups)]
-    scale = 1 / np.sqrt(x.mean(0) + 1e-6)
-    rows = np.concatenate([x * scale, np.ones((len(x), 1))], 1)
+    scale = 1 / np.sqrt(x.mean(0, dtype=np.float64) + 1e-6)
     names, home = np.array(langs, object), np.array([next(f for f, g in enumerate(levels) if s in g) for s in langs], np.int64)
     duels, columns = [], []
     for level, labels, n in [(-1, home, len(levels)), *((f, names, len(g)) for f, g in enumerate(levels))]:
@@ -216,7 +215,9 @@ def fit(langs: list[str], x: np.ndarray, families: dict[str, tuple[str, ...]] |
             first, second = (a, b) if level < 0 else (levels[level][a], levels[level][b])
             own = np.flatnonzero((labels == first) | (labels == second))
             duels.append((level, a, b))
-            columns.append(_svm(rows[own], np.where(labels[own] == first, 1.0, -1.0)))
+            rows = np.ones((len(own), DIMS + 1))  # of one duel at a time: the driver holds no second copy of all
+            np.multiply(x[own], scale, out=rows[:, :-1])
+            columns.append(_svm(rows, np.where(labels[own] == first, 1.0, -1.0)))
     w = np.array(columns).reshape(-1, DIMS + 1)
     return Model(levels, duels, (w[:, :-1] * scale).T.astype(np.float32), w[:, -1].copy())
 
@@ -249,9 +250,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
     rows = sample.mapInArrow(run, "lang string, x binary, n bigint").collect()
     if not rows:
         return Model([[sorted(counts)[0]]], [], np.zeros((DIMS, 0), np.float32), np.zeros(0))
-    langs, x = [r.lang for r in rows], np.stack([np.frombuffer(r.x, np.float32) for r in rows]).astype(np.float64)
+    langs, sizes, x = [r.lang for r in rows], np.array([r.n for r in rows]), np.stack([np.frombuffer(r.x, np.float32) for r in rows])
+    del rows
     model = fit(langs, x)
-    model.likely = likelihoods(langs, x, np.array([r.n for r in rows])) if reject else {}
+    model.likely = likelihoods(langs, x, sizes) if reject else {}
     return model
 
 

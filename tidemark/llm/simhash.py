@@ -353,7 +353,7 @@ def similar(sets: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
     found = components(as_links(found).unionByName(confirmed(spokes, sets, least)))
     rest = sharing(ranked, held(open_.select("__uid").distinct(), found), least)
     fresh = cut(rest.join(stars.unionByName(spokes), ["u", "v"], "left_anti"), "fresh")
-    out = components(as_links(found).unionByName(confirmed(fresh, sets, least)))
+    out = found if fresh.isEmpty() else components(as_links(found).unionByName(confirmed(fresh, sets, least)))
     discard(bands, stars, open_, ranked, spokes, rest, fresh, links_)
     return out
 
