@@ -165,3 +165,27 @@ def test_leaked_tails(spark, seed):
     schema = "k long, at long, id long, gray array<int>"
     got = frames.leaked_tails(spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(after, schema), ["k"])
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+@pytest.mark.parametrize("most,least", [(1, 0.0), (3, 0.0), (4, 40.0), (50, 0.0)])
+def test_snapshots(spark, most, least):
+    r = random.Random(most)
+    rows = [(k, r.randint(0, 60), 100 * k + i, f"{r.randrange(16):04b}") for k in range(6) for i in range(3 * k)]
+    asked = [(k, r.randint(-5, 70)) for k in range(8) for _ in range(7)]
+    want = []
+    for k in range(6):
+        own = {}
+        for _, t, i, h in sorted(x for x in rows if x[0] == k):
+            own.setdefault(t, (t, i, h))
+        if own:
+            times = {min(own), max(own)} | {min(own, key=lambda t: (abs(t - a), t)) for g, a in asked if g == k}
+            thin = plain_thinned([own[t] for t in sorted(times)], least)
+            n = len(thin)
+            if n > most:
+                slots = max(most - 2, 0)
+                places = {0} | ({n - 1} if most > 1 else set()) | {int(j * (n - 3) / max(slots - 1, 1) + 0.5) + 1 for j in range(slots)}
+                thin = [thin[p] for p in sorted(places)]
+            want += [(k, t, i) for t, i, _ in thin]
+    schema = "k long, at long, id long, hash string"
+    got = frames.snapshots(spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(asked, "k long, t long"), "k", most, least)
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import intervals, profile
 from tidemark.streaming import folds
 from tidemark.streaming.folds import NEVER
 
@@ -93,3 +94,18 @@ def leaked_tails(frames: DataFrame, after: DataFrame, keys: list[str], candidate
     leaks = F.coalesce(nearest(F.col("next")) - nearest(F.col("own")) < -margin, F.lit(False))
     so_far = F.min(leaks.cast("int")).over(Window.partitionBy(*keys).orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
     return tail.withColumn("gone", so_far).where("gone = 1").select(*keys, "id")
+
+
+def snapshots(frames: DataFrame, anchors: DataFrame, key: str, most: int, least: float = 0.0) -> DataFrame:
+    """(key, at, id): at most `most` frames (key, at, id, hash) of each key: the first, the last, and those nearest to the anchors (key, t; of ties the earlier), thinned by
+    how they look, and then, if there are still too many, the first, the last and evenly spaced ones between.
+
+    Of frames of one time the smallest id stands for all. `most` under 1 counts as 1, which gives the first frame. Anchors of keys without
+    frames give nothing.
+    """
+    one = frames.groupBy(key, "at").agg(F.min(F.struct("id", "hash")).alias("f")).select(key, "at", "f.id", "f.hash")
+    near = intervals.as_of(anchors.select(key, "t").distinct(), one.select(key, F.col("at").alias("t")), key).select(key, F.col("match").alias("at"))
+    ends = one.groupBy(key).agg(F.array(F.min("at"), F.max("at")).alias("e")).select(key, F.explode("e").alias("at"))
+    chosen = one.join(near.where("at is not null").union(ends).distinct(), [key, "at"], "left_semi")
+    rows = thinned(chosen, key, least).withColumn("start_ms", F.col("at"))
+    return profile.spaced(rows, max(1, most), key).select(key, "at", "id")

@@ -41,6 +41,12 @@ def thinned_frames(spark: SparkSession, d: str) -> DataFrame:
     return frames.thinned(_acts(spark, d).select("user_id", F.col("start_ms").alias("at"), "id", look.alias("hash")), "user_id", 50.0).select("user_id", "id")
 
 
+def snapshots(spark: SparkSession, d: str) -> DataFrame:
+    a = _acts(spark, d)
+    shown = a.where("app <> 'purchase'").select("user_id", F.col("start_ms").alias("at"), "id", F.lit(None).cast("string").alias("hash"))
+    return frames.snapshots(shown, a.where("app = 'purchase'").select("user_id", F.col("start_ms").alias("t")), "user_id", 5).select("user_id", "id")
+
+
 def leaked_tails(spark: SparkSession, d: str) -> DataFrame:
     """A user's day is an activity, whose frames are its events; what comes after is the day after."""
     length = F.col("end_ms") - F.col("start_ms")
@@ -121,6 +127,9 @@ SQL = {
  p AS (SELECT a.user_id, a.day, a.id, a.r, min((abs(a.gray[1] - b.gray[1]) + abs(a.gray[2] - b.gray[2]) + abs(a.gray[3] - b.gray[3])) / 3 / 255 * 100) FILTER (b.day = a.day) AS own, min((abs(a.gray[1] - b.gray[1]) + abs(a.gray[2] - b.gray[2]) + abs(a.gray[3] - b.gray[3])) / 3 / 255 * 100) FILTER (b.day = a.day + 1) AS nxt
  FROM c a JOIN c b ON a.user_id = b.user_id AND a.r <= a.many AND ((b.day = a.day AND b.r > a.many AND b.r <= a.many + 2) OR (b.day = a.day + 1 AND b.f <= 2)) GROUP BY ALL)
  SELECT user_id, id FROM (SELECT *, min(CASE WHEN coalesce(nxt - own < -0.5, false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, day ORDER BY r ROWS UNBOUNDED PRECEDING) AS gone FROM p) WHERE gone = 1""",
+    "snapshots": f"""WITH {_ACTS}, one AS (SELECT user_id, start_ms AS t, min(id) AS id FROM acts WHERE app <> 'purchase' GROUP BY ALL), a AS (SELECT DISTINCT user_id, start_ms AS q FROM acts WHERE app = 'purchase'), n AS (SELECT a.user_id, arg_min(t, (abs(t - q), t)) AS t FROM a JOIN one USING (user_id) GROUP BY a.user_id, q),
+ e AS (SELECT user_id, unnest([min(t), max(t)]) AS t FROM one GROUP BY user_id), c AS (SELECT user_id, t FROM n UNION SELECT user_id, t FROM e), r AS (SELECT c.user_id, id, row_number() OVER (PARTITION BY c.user_id ORDER BY c.t) - 1 AS i, count(*) OVER (PARTITION BY c.user_id) AS n FROM c JOIN one USING (user_id, t))
+ SELECT user_id, id FROM r WHERE n <= 5 OR i = 0 OR i = n - 1 OR i IN (SELECT floor(j * (n - 3) / 2.0 + 0.5) + 1 FROM range(3) AS g(j))""",
     "reply_values": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 }
 QUERIES = {name: globals()[name] for name in SQL}
