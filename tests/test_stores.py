@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import checks
 from tidemark.operators import stores
+from tidemark.plans.stores import check_digits
 
 LEDGER = "day long, status string, attempts long, next_ms long, started_ms long"
 
@@ -53,3 +54,20 @@ def test_new_zealand_numbers(spark):
     got = [tuple(r) for r in rows.select(checks.passes_ird(F.col("ird")), checks.passes_nhi(F.col("nhi"))).collect()]
     assert got[:5] == [(True, True), (True, True), (False, False), (False, False), (False, False)]
     assert not any(got[5])
+
+
+def test_check_digits_of_numbers_beyond_their_kind(spark, tmp_path):
+    """The query looks at check digits alone, as its SQL does, also where keys make numbers longer than their kinds."""
+    keys = [0, 7, 5_135_147, 5_135_209, 6_400_000, *range(8_990_000, 8_990_300), *range(10_110_000, 10_110_400), 36_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    dot = lambda digits, weights: sum(int(x) * w for x, w in zip(digits, weights, strict=False))
+    want = {}
+    for k in keys:
+        v, i = str(20_000_000_000 + k * 7919), str(10_000_000 + k * 37)
+        t, base = v[2:11], i[:-1].rjust(8, "0")[:8]
+        first, second = ((11 - dot(base, w) % 11) % 11 for w in (checks.IRD, checks.IRD_SECOND))
+        acn = (10 - dot(t, checks.ACN) % 10) % 10 == int(t[8])
+        want[k] = ((second if first == 10 else first) == int(i[-1]), dot(t, checks.TFN) % 11 == 0, (dot(v, checks.ABN) - 10) % 89 == 0, acn, dot(v, checks.MEDICARE) % 10 == int(v[8]))
+    got = {r.o_orderkey: (r.ird, r.tfn, r.abn, r.acn, r.medicare) for r in check_digits(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert all(any(x[c] for k, x in want.items() if k > 8_000_000) for c in range(5))
