@@ -52,6 +52,20 @@ def test_clock_changes(spark):
     assert parsed(spark, ["2024-11-03T01:30:00"], noon, NEW_YORK) == [ms(2024, 11, 3, 1, 30, zone=NEW_YORK)]
 
 
+def test_counting_back_into_a_time_shown_twice(spark):
+    """Asked for, the later of two times: all minutes and hours around changes of clocks, against Python's calendar."""
+    for now, zone in ((ms(2023, 10, 29, 12, 20, zone=BERLIN), BERLIN), (ms(2024, 11, 3, 9, 5, zone=NEW_YORK), NEW_YORK), (ms(2024, 4, 7, 12, zone="Australia/Lord_Howe"), "Australia/Lord_Howe"), (ms(2024, 3, 31, 6, zone=BERLIN), BERLIN)):
+        here = datetime.fromtimestamp(now / 1000, ZoneInfo(zone)).replace(tzinfo=None)
+        texts = [f"{n} minutes ago" for n in range(0, 780, 7)] + [f"{n} hours ago" for n in range(24)]
+        clocks = [here - timedelta(**{x.split()[1]: int(x.split()[0])}) for x in texts]
+        # a skipped time counts with the offset from before the change, which is that of fold 0
+        skipped = lambda t: datetime.fromtimestamp(t.replace(tzinfo=ZoneInfo(zone)).timestamp(), ZoneInfo(zone)).replace(tzinfo=None) != t
+        want = [round(t.replace(tzinfo=ZoneInfo(zone), fold=0 if skipped(t) else 1).timestamp() * 1000) for t in clocks]
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+        got = [r.v for r in df.select("i", times.parse_time(F.col("t"), F.lit(now), zone, later=True).alias("v")).orderBy("i").collect()]
+        assert got == want
+
+
 def test_days(spark):
     at = [ms(2024, m, d, h, 59, zone=BERLIN) for m, d in ((3, 30), (3, 31), (4, 1), (10, 26), (10, 27), (10, 28), (1, 1)) for h in (0, 1, 2, 3, 12, 23)] + [-1, 0, -86_400_000 * 400]
     rows = spark.createDataFrame([(x,) for x in at], "t long")

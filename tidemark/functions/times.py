@@ -1,7 +1,7 @@
 """Times as people say them, and calendar days of a zone, as column expressions that don't depend on the session's zone.
 
 Times are whole milliseconds since 1970. A wall-clock time that a zone skips counts with the offset from before the change; one that it has
-twice is the first.
+twice is the first, unless the later is asked for.
 """
 
 from __future__ import annotations
@@ -18,9 +18,19 @@ def wall(ms: Column, zone: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
-def instant(clock: Column, zone: str) -> Column:
-    """The time at which the zone's wall clock shows this."""
-    return F.floor(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), F.convert_timezone(F.lit(zone), F.lit("UTC"), clock)) / 1000).cast("bigint")
+def _since_epoch(clock: Column) -> Column:
+    return F.floor(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), clock) / 1000).cast("bigint")
+
+
+def instant(clock: Column, zone: str, later: bool = False) -> Column:
+    """The time at which the zone's wall clock shows this; the last such time if the later is asked for."""
+    first = _since_epoch(F.convert_timezone(F.lit(zone), F.lit("UTC"), clock))
+    if not later:
+        return first
+    # the offset a day on is that after a change, if there is one
+    after = first + 86_400_000
+    again = _since_epoch(clock) - (_since_epoch(wall(after, zone)) - after)
+    return F.when((again > first) & (_since_epoch(wall(again, zone)) == _since_epoch(clock)), again).otherwise(first)
 
 
 def local_day(ms: Column, zone: str) -> Column:
@@ -69,11 +79,12 @@ def _ago(now: Column, amount: Column, unit: Column) -> Column:
     return F.when(unit == "month", by_month).otherwise(by_time)
 
 
-def parse_time(text: Column, now_ms: Column, zone: str) -> Column:
+def parse_time(text: Column, now_ms: Column, zone: str, later: bool = False) -> Column:
     """Milliseconds of `now`, `today`, `yesterday` (the day's start), `N minutes/hours/days/weeks/months ago` or an ISO 8601 time; else null.
 
     Case and white space around don't matter. Units count by the wall clock. A date alone is in UTC, a time without an offset is the zone's. Days
-    up to 31 that a month lacks run on into the next. Amounts of more than seven digits (five for months) are null.
+    up to 31 that a month lacks run on into the next. Amounts of more than seven digits (five for months) are null. Where counting back ends at a
+    wall-clock time that the zone has twice, that is the first, or the one nearer to now if the later is asked for.
     """
     t = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
     now = wall(now_ms, zone)
@@ -82,7 +93,7 @@ def parse_time(text: Column, now_ms: Column, zone: str) -> Column:
     unit = F.regexp_extract(t, ago, 2)
     amount = F.coalesce(F.regexp_extract(t, ago, 1).try_cast("int"), F.lit(0))
     fits = (unit != "month") | (amount < 100_000)
-    back = instant(_ago(now, F.when(fits, amount).otherwise(0), unit), zone)
+    back = instant(_ago(now, F.when(fits, amount).otherwise(0), unit), zone, later)
 
     iso = r"^([0-9]{4})(?:-([0-9]{2})(?:-([0-9]{2}))?)?(?:t([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]{1,9}))?)?(z|[+-][0-9]{2}:?[0-9]{2})?)?$"
     part = lambda i, empty: F.coalesce(F.regexp_extract(t, iso, i).try_cast("int"), F.lit(empty))
