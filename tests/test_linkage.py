@@ -83,6 +83,16 @@ def test_large_keys(spark, monkeypatch, most, block):
     assert groups_of(got.where("k = 'a'")) == want == groups_of(got.where("k is null"))
 
 
+def test_copies_take_no_rounds(spark, monkeypatch):
+    """Equal vectors are one group from the start, however many there are: a key of few different ones is one task's."""
+    monkeypatch.setattr(linkage, "_in_rounds", None)
+    base = vectors(5, 8)
+    rows = [(100 * k + i, v) for k in range(9) for i, v in base] + [(1000, [0.0] * 6)]
+    df = spark.createDataFrame([("a", *r) for r in rows], "k string, vec_id long, embedding array<double>").repartition(5)
+    want = greedy([i for i, _ in rows[:-1]], [v for _, v in rows[:-1]], 0.65) + [[1000]]
+    assert groups_of(linkage.average_linkage(df, ["k"], 0.65, most=10)) == want
+
+
 def test_queries_by_label(spark, sf_dir):
     """Whole labels of the table."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label < 3")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import kept
+from tidemark.sources.tables import kept, stored
 
 #: Vectors that one task links (its matrix of likenesses has so many rows), and those of one block where more are compared.
 MOST_IN_TASK, BLOCK = 2_000, 2_000
@@ -128,13 +128,13 @@ def _linked(rows: DataFrame, threshold: float) -> DataFrame:
 
 def connected(links: DataFrame) -> DataFrame:
     """(block, at, part): the smallest member of what hangs together by links (block, a, b). Labels pass along links and then along labels, until none changes."""
-    both = kept(links.select("block", "a", "b").union(links.select("block", "b", "a")).distinct().toDF("block", "at", "to"))
-    labels = kept(both.groupBy("block", "at").agg(F.min("to").alias("m")).select("block", "at", F.least("at", "m").alias("part")))
+    both = stored(links.select("block", "a", "b").union(links.select("block", "b", "a")).distinct().toDF("block", "at", "to"))
+    labels = stored(both.groupBy("block", "at").agg(F.min("to").alias("m")).select("block", "at", F.least("at", "m").alias("part")))
     while True:
         passed = both.join(labels.withColumnRenamed("at", "to"), ["block", "to"]).groupBy("block", "at").agg(F.min("part").alias("m"))
         new = labels.join(passed, ["block", "at"]).select("block", "at", F.least("part", "m").alias("new"), "part")
         on = new.select("block", F.col("at").alias("new"), F.col("new").alias("further"))
-        new = kept(new.join(on, ["block", "new"]).select("block", "at", F.least("new", "further").alias("new"), "part"))
+        new = stored(new.join(on, ["block", "new"]).select("block", "at", F.least("new", "further").alias("new"), "part"))
         labels = new.select("block", "at", F.col("new").alias("part"))
         if new.where("new <> part").isEmpty():
             return labels
@@ -162,30 +162,31 @@ def _nearest(groups: DataFrame, threshold: float) -> DataFrame:
 
 def _in_rounds(groups: DataFrame, threshold: float, most: int) -> DataFrame:
     """(block, at, root) of groups (block, at, mean, n) in blocks too large for a task."""
-    groups = kept(groups)
-    roots, out = groups.select("block", "at", F.col("at").alias("root")), None
+    groups = stored(groups)
+    roots, out = stored(groups.select("block", "at", F.col("at").alias("root"))), None
     while True:
-        near = kept(_nearest(groups, threshold))
+        near = stored(_nearest(groups, threshold))
         back = near.select("block", F.col("other").alias("at"), F.col("at").alias("other"))
-        merges = kept(near.join(back, ["block", "at", "other"]).where("at < other").select("block", "at", F.col("other").alias("gone")))
+        merges = stored(near.join(back, ["block", "at", "other"]).where("at < other").select("block", "at", F.col("other").alias("gone")))
         if not merges.isEmpty():
             gone = groups.join(merges.select("block", F.col("gone").alias("at"), F.col("at").alias("into")), ["block", "at"]).select("block", F.col("into").alias("at"), F.col("mean").alias("mean2"), F.col("n").alias("n2"))
             stay = groups.join(merges.select("block", F.col("gone").alias("at")), ["block", "at"], "left_anti").join(gone, ["block", "at"], "left")
             both = F.zip_with("mean", "mean2", lambda x, y: (x * F.col("n") + y * F.col("n2")) / (F.col("n") + F.col("n2")))
-            groups = kept(stay.select("block", "at", F.when(F.col("n2").isNull(), F.col("mean")).otherwise(both).alias("mean"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")))
+            groups = stored(stay.select("block", "at", F.when(F.col("n2").isNull(), F.col("mean")).otherwise(both).alias("mean"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")))
             moved = merges.select("block", F.col("gone").alias("root"), F.col("at").alias("into"))
-            roots = kept(roots.join(moved, ["block", "root"], "left").select("block", "at", F.coalesce("into", "root").alias("root")))
+            roots = stored(roots.join(moved, ["block", "root"], "left").select("block", "at", F.coalesce("into", "root").alias("root")))
         # What is small enough by now, and blocks where nothing merged, are done with in tasks or as they are.
         counts = groups.groupBy("block").agg(F.count(F.lit(1)).alias("c")).join(merges.select("block").distinct().withColumn("goes", F.lit(True)), "block", "left")
-        ready = kept(counts.select("block", (F.col("c") <= most).alias("small"), (F.coalesce("goes", F.lit(False)) & (F.col("c") > most)).alias("on")))
+        ready = stored(counts.select("block", (F.col("c") <= most).alias("small"), (F.coalesce("goes", F.lit(False)) & (F.col("c") > most)).alias("on")))
         small = groups.join(ready.where("small").select("block"), "block")
         last = small.groupBy("block").applyInPandas(lambda rows: _in_task(rows, threshold), "block string, at bigint, root bigint").select("block", F.col("at").alias("root"), F.col("root").alias("into"))
-        ended = roots.join(ready.where("not on").select("block"), "block").join(last, ["block", "root"], "left").select("block", "at", F.coalesce("into", "root").alias("root"))
-        out = ended if out is None else out.unionByName(ended)
-        going = ready.where("on").select("block")
-        if going.isEmpty():
-            return out
-        groups, roots = kept(groups.join(going, "block")), kept(roots.join(going, "block"))
+        ended, going = ready.where("not on").select("block"), ready.where("on").select("block")
+        if not ended.isEmpty():
+            done = stored(roots.join(ended, "block").join(last, ["block", "root"], "left").select("block", "at", F.coalesce("into", "root").alias("root")))
+            out = done if out is None else out.unionByName(done)
+            if going.isEmpty():
+                return out
+            groups, roots = stored(groups.join(going, "block")), stored(roots.join(going, "block"))
 
 
 def average_linkage(vectors: DataFrame, keys: list[str], threshold: float = 0.65, id_col: str = "vec_id", vector: str = "embedding", most: int = MOST_IN_TASK) -> DataFrame:
@@ -193,7 +194,7 @@ def average_linkage(vectors: DataFrame, keys: list[str], threshold: float = 0.65
 
     The two groups of largest mean cosine merge first, until none reach the threshold, which must be above zero. Ids are whole numbers, distinct
     within a key and not null. Vectors that are null, zero or not finite, and those of another length than the key's commonest, are groups of
-    one. `most` is what one task links; larger keys are divided into what hangs together by links, and that is merged in rounds.
+    one. `most` is how many different vectors one task links; larger keys are divided into what hangs together by links, and that is merged in rounds.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be above zero")
@@ -201,20 +202,27 @@ def average_linkage(vectors: DataFrame, keys: list[str], threshold: float = 0.65
     rows = vectors.select(*keys, F.col(id_col).cast("bigint").alias("at"), unit(F.col(vector)).alias("mean")).withColumn("block", block)
     lengths = rows.where("mean is not null").groupBy("block", F.size("mean").alias("size")).agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max(F.struct("c", "size")).alias("m"), F.sum("c").alias("all"))
     rows = kept(rows.join(lengths.select("block", F.col("m.size").alias("size"), F.col("m.c").alias("c")), "block", "left"))
-    sound = rows.where(F.size("mean") == F.col("size")).withColumn("n", F.lit(1).cast("bigint"))
-    columns = ["block", "at", "mean", "n"]
-    found = sound.where(F.col("c") <= most).select(columns).groupBy("block").applyInPandas(lambda x: _in_task(x, threshold), "block string, at bigint, root bigint")
-    large = sound.where(F.col("c") > most).select(columns)
+    sound = rows.where(F.size("mean") == F.col("size")).select("block", "at", "mean")
+    # Equal vectors have the greatest likeness there is, so they are the first to merge: one group, by its smallest id.
+    same = sound.groupBy("block", "mean").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")) if threshold <= 1 else sound.select("block", "mean", F.col("at").alias("first"), F.lit(1).cast("bigint").alias("n"))
+    same = stored(same.select("block", F.col("first").alias("at"), "mean", "n"))
+    counts = same.groupBy("block").agg(F.count(F.lit(1)).alias("c"))
+    distinct, columns = same.join(counts, "block"), ["block", "at", "mean", "n"]
+    found = distinct.where(F.col("c") <= most).select(columns).groupBy("block").applyInPandas(lambda x: _in_task(x, threshold), "block string, at bigint, root bigint")
+    large = distinct.where(F.col("c") > most).select(columns)
     if not large.isEmpty():
-        parts = kept(connected(_linked(large, threshold)))
+        parts = stored(connected(_linked(large, threshold)))
         # Blocks are now what hangs together; vectors without a link are groups of one.
         named = large.join(parts, ["block", "at"]).withColumn("block", F.concat_ws("|", "part", "block"))
         counts = named.groupBy("block").agg(F.count(F.lit(1)).alias("c"))
-        named = kept(named.join(counts, "block"))
+        named = stored(named.join(counts, "block"))
         easy = named.where(F.col("c") <= most).select(columns).groupBy("block").applyInPandas(lambda x: _in_task(x, threshold), "block string, at bigint, root bigint")
         hard = named.where(F.col("c") > most).select(columns)
         merged = easy if hard.isEmpty() else easy.unionByName(_in_rounds(hard, threshold, most))
         found = found.unionByName(merged.withColumn("block", F.expr("substring(block, instr(block, '|') + 1)")))
+    if threshold <= 1:
+        copies = sound.join(same.select("block", "mean", F.col("at").alias("first")), ["block", "mean"]).select("block", "at", "first")
+        found = copies.join(found.withColumnRenamed("at", "first"), ["block", "first"]).select("block", "at", "root")
     out = rows.select("block", *keys, "at").join(found, ["block", "at"], "left")
     return out.select(*keys, F.col("at").alias(id_col), F.coalesce("root", "at").alias("root"))
 

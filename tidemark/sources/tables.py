@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +25,26 @@ def activities(events: DataFrame) -> DataFrame:
     )
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read from there: lineage ends, and a lost executor costs no recomputation.
-
-    The folder is spark.checkpoint.dir, which driver and executors share. Where the session names none, a temporary one is set on a local
-    master; on a cluster that is an error.
-    """
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share. Where the session names none, a temporary one is set on a local master; on a
+    cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there: lineage ends, and a lost executor costs no recomputation."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like `kept`, as a Parquet table: for loops, in which neither plans, nor what Spark infers about them, nor the tasks of small tables grow."""
+    path = f"{_checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
