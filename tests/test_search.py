@@ -25,6 +25,23 @@ def test_nearest(spark, monkeypatch):
     assert search.nearest_of_each(vectors.limit(0), odd, 3).count() == 0 == search.nearest_of_each(vectors, odd.limit(0), 3).count()
 
 
+def test_products_are_of_bounded_size(spark, monkeypatch):
+    """Many queries at once, ties among copies, products of a few queries by a few vectors: a task keeps the limit best and no more."""
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2, (40, 5)).astype(float)
+    rows = [(int(i), base[i % 40].tolist()) for i in r.permutation(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(search, "ROWS", 16)
+    monkeypatch.setattr(search, "ASKED", 7)
+    asked = vectors.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    got = sorted(map(tuple, search.nearest_of_each(vectors, asked, 12).collect()))
+    place = dict(rows)
+    assert got == sorted((q, i, d, k + 1) for q in range(0, 300, 5) for k, (d, i) in enumerate(sorted((round(math.dist(place[q], v), 6), i) for i, v in rows)[:12]))
+    names, matrix = np.arange(300), np.array([place[i] for i in range(300)])
+    found = search._nearest_in_tasks(vectors.coalesce(1), names, matrix, 12, "vec_id", "embedding", "query_id bigint, vec_id bigint, distance double")
+    assert found.count() == 300 * 12
+
+
 def test_bm25(spark):
     texts = ["a b c", "A b", "b b b d", None, "", "e"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -14,22 +14,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Query vectors that one pass over all vectors takes along, and vectors that a task compares with them at a time.
-QUERY_BLOCK, ROWS = 2_048, 2_000
+#: Query vectors that one pass over all vectors takes along, vectors that a task compares with them at a time, and queries of one matrix product.
+QUERY_BLOCK, ROWS, ASKED = 8_192, 2_000, 256
 
 
 def _sound(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Which vectors have this length and only finite numbers, and those as a matrix."""
-    rows = [np.array(x if x is not None and None not in x else [], np.float64) for x in column.to_pylist()]
-    ok = np.array([len(x) == size and bool(np.isfinite(x).all()) for x in rows], bool)
-    return ok, np.stack([x for x, k in zip(rows, ok, strict=True) if k]) if ok.any() else np.empty((0, size))
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ok = column.is_valid().to_numpy(zero_copy_only=False) & (column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == size)
+    values = column.filter(pa.array(ok)).flatten().cast(pa.float64())
+    x = values.to_numpy(zero_copy_only=False).reshape(-1, size)  # nulls are NaN
+    fine = np.isfinite(x).all(1)
+    ok[ok] = fine
+    return ok, x[fine]
 
 
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, limit: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, distance, rank): of each query vector (query_id, vector) the limit nearest of all vectors, by Euclidean distance to six decimals; of ties the smaller id.
 
-    Queries go in blocks of bounded size; each block is one pass, in which tasks compare by matrix products and keep the limit best of each
-    query, so that is all that is shuffled. Ids are whole numbers. Vectors that are null, not finite or of another length than the query are
+    Queries go in blocks of bounded size; each block is one pass, in which tasks compare by matrix products of bounded size and keep the limit
+    best of each query, so that is all that is shuffled. Of a product only what is no farther than the worst kept is sorted. Ids are whole numbers. Vectors that are null, not finite or of another length than the query are
     found by none, and such queries find none; queries of several lengths go one length at a time.
     """
     spark, schema = vectors.sparkSession, f"query_id bigint, {id_col} bigint, distance double"
@@ -50,16 +54,37 @@ def _nearest_in_tasks(vectors: DataFrame, names: np.ndarray, matrix: np.ndarray,
     squares = (matrix**2).sum(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, best = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+        # of each query the best so far, by distance and id; places without one are infinitely far
+        ids, best = np.zeros((len(names), limit), np.int64), np.full((len(names), limit), np.inf)
         for batch in batches:
             for part in (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS)):
                 ok, x = _sound(part.column(1), matrix.shape[1])
-                far = np.round(np.sqrt(np.maximum(squares[:, None] + (x**2).sum(1)[None] - 2 * (matrix @ x.T), 0)), 6)
-                ids = np.concatenate([ids, np.broadcast_to(part.column(0).to_numpy()[ok], far.shape)], 1)
-                best = np.concatenate([best, far], 1)
-                order = np.lexsort((ids, best))[:, :limit]
-                ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel()), pa.array(best.ravel())], ["query_id", id_col, "distance"])
+                own, length = part.column(0).to_numpy()[ok], (x**2).sum(1)
+                for lo in range(0, len(names) if len(x) else 0, ASKED):
+                    hi = min(lo + ASKED, len(names))
+                    far = matrix[lo:hi] @ x.T
+                    far *= -2
+                    far += squares[lo:hi, None]
+                    far += length
+                    worst = best[lo:hi, -1]
+                    most = (worst + 1e-6) ** 2  # a little more than rounding hides
+                    if len(x) > limit and np.isinf(worst).any():
+                        most = np.minimum(most, (np.sqrt(np.maximum(np.partition(far, limit - 1, axis=1)[:, limit - 1], 0)) + 1e-6) ** 2)
+                    at, col = np.nonzero(far <= most[:, None])
+                    if not len(at):
+                        continue
+                    near = np.round(np.sqrt(np.maximum(far[at, col], 0)), 6)
+                    some = np.unique(at)  # only queries with something new are sorted
+                    at = np.concatenate([at, np.repeat(some, limit)])
+                    near, new = np.concatenate([near, best[lo + some].ravel()]), np.concatenate([own[col], ids[lo + some].ravel()])
+                    order = np.lexsort((new, near, at))
+                    at, near, new = at[order], near[order], new[order]
+                    keep = np.arange(len(at)) - np.searchsorted(at, at) < limit
+                    best[lo + some], ids[lo + some] = near[keep].reshape(-1, limit), new[keep].reshape(-1, limit)
+        for lo in range(0, len(names), ASKED):
+            found = np.isfinite(best[lo : lo + ASKED])
+            asked = np.broadcast_to(names[lo : lo + ASKED, None], found.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[found]), pa.array(ids[lo : lo + ASKED][found]), pa.array(best[lo : lo + ASKED][found])], ["query_id", id_col, "distance"])
 
     return vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias(id_col), vector).mapInArrow(run, schema)
 
