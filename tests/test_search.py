@@ -42,6 +42,18 @@ def test_products_are_of_bounded_size(spark, monkeypatch):
     assert found.count() == 300 * 12
 
 
+def test_words_that_nobody_asks_for_are_not_shuffled(spark, monkeypatch):
+    """Asked terms are told exactly, also where hashes of few bits let others pass; what is shuffled are terms that pass."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97}" for k in range(1, 30))) for i in range(60)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "w5"), (1, "w7"), (2, "w96")], "query_id long, term string")
+    want = sorted(map(tuple, search.bm25_of_each(docs, queries, 5).collect()))
+    plan = search.bm25_of_each(docs, queries, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert want and "LeftSemi, (place" in plan
+    for few in (1, 4):
+        monkeypatch.setattr(search, "TERM_HASHES", few)
+        assert sorted(map(tuple, search.bm25_of_each(docs, queries, 5).collect())) == want
+
+
 def test_bm25(spark):
     texts = ["a b c", "A b", "b b b d", None, "", "e"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -18,6 +18,10 @@ def dot(a: Column, b: Column) -> Column:
 QUERY_BLOCK, ROWS, ASKED = 8_192, 2_000, 256
 
 
+#: Hashes of terms by which documents' words are looked through.
+TERM_HASHES = 1 << 19
+
+
 def _sound(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Which vectors have this length and only finite numbers, and those as a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -116,12 +120,17 @@ def bm25(docs: DataFrame, query: list[str], limit: int, every: bool = False, k1:
 def bm25_of_each(docs: DataFrame, queries: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): the limit best documents for any of each query's terms (query_id, term), lower-cased; of ties the smaller id.
 
-    Postings are made once for all queries, and only those of asked terms are counted and joined. A document's scores add up before the
+    Postings are made once for all queries, and only those of asked terms are counted and joined: a table of fixed size, of hashes of asked terms,
+    goes to all tasks, so of other terms hardly any is shuffled, and asked terms then tell exactly. A document's scores add up before the
     shuffle that ranks them.
     """
     wanted = queries.select("query_id", F.lower("term").alias("term")).distinct()
+    place = F.pmod(F.xxhash64("term"), F.lit(TERM_HASHES)).alias("place")
+    likely = F.broadcast(wanted.select(place).distinct())  # at most TERM_HASHES rows
+    words = docs.select("doc_id", terms(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n"), "w").select("doc_id", "n", F.explode("w").alias("term"))
+    words = words.select("*", place).join(likely, "place", "left_semi")
     size = docs.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size(terms(F.col("text")))).alias("mean"))
-    hits = postings(docs).join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = words.groupBy("term", "doc_id", "n").agg(F.count(F.lit(1)).alias("tf")).join(wanted.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
