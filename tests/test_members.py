@@ -1,5 +1,8 @@
 """Nulls, ties and empty inputs of the member, trend and text operators."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, web
@@ -43,3 +46,16 @@ def test_private_hosts(spark):
     rows = spark.createDataFrame([(h,) for h in hosts], "h string").coalesce(1)
     got = [r.h for r in rows.where(web.is_private(F.col("h"))).collect()]
     assert got == ["localhost:80", "127.0.0.1", "10.1.2.3", "169.254.1.1", "172.16.0.1", "192.168.1.1:8080", "[::1]"]
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Sets go to as many tasks as bound the pairs of one, and pairs of sets aren't shuffled; counts and ties as by plain sets."""
+    r = random.Random(4)
+    golden, detected = ([(k, r.randrange(60)) for k in range(25) for _ in range(r.randrange(1, 12))] for _ in range(2))
+    monkeypatch.setattr(membership, "ROWS_OF_TASK", 5)
+    found = membership.best_overlap(spark.createDataFrame(golden, "g long, item long"), spark.createDataFrame(detected, "d long, item long"))
+    sets = [{k: {i for o, i in rows if o == k} for k, _ in rows} for rows in (golden, detected)]
+    best = {g: min((-len(x & y), d) for d, y in sets[1].items()) for g, x in sets[0].items()}
+    assert {r.g: (-r.shared, r.d) for r in found.collect()} == {g: x for g, x in best.items() if x[0]}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-len(golden) // 5)}), REPARTITION_BY_NUM" in plan and not re.search(r"hashpartitioning\(g#\d+L, d#", plan)

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of golden sets that one task takes.
+ROWS_OF_TASK = 200_000
+
+
 def without(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """The rows whose key isn't in seen; rows with a null key stay."""
     return rows.join(seen.select(key), key, "left_anti")
@@ -24,12 +28,16 @@ def recurring(members: DataFrame, group: str, least: int = 2) -> DataFrame:
 def best_overlap(golden: DataFrame, detected: DataFrame) -> DataFrame:
     """For each g of golden (g, item) the d of detected (d, item) that shares most items with it, the smallest d of ties.
 
-    Items are identifiers, which few sets have in common: the join is on the item, and its size is the number of shared items.
-    Sets that share nothing with any other have no row.
+    Items are identifiers, which few sets have in common: an item's sets of detected go to every set of golden with it, as one row, and shared items
+    are counted where a set of golden is whole, so pairs of sets are never shuffled. Tasks are as many as keep the pairs of one bounded; AQE
+    doesn't put them together. Sets that share nothing with any other have no row.
     """
-    left, right = golden.select("g", "item").distinct(), detected.select("d", "item").distinct()
-    shared = left.join(right, "item").groupBy("g", "d").agg(F.count(F.lit(1)).alias("shared"))
-    best = shared.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("shared"), "d"))).where("r = 1").drop("r")
+    tasks = max(int(golden.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-golden.count() // ROWS_OF_TASK))
+    left, right = (side.select(name, "item").repartition(tasks, "item").distinct() for side, name in ((golden, "g"), (detected, "d")))
+    owners = right.groupBy("item").agg(F.collect_list(F.struct("d")).alias("ds"))
+    dealt = left.join(owners, "item").select("g", "ds").repartition(tasks, "g")
+    shared = dealt.select("g", F.explode("ds").alias("of")).groupBy("g", F.col("of.d").alias("d")).agg(F.count(F.lit(1)).alias("shared"))
+    best = shared.groupBy("g").agg(F.min(F.struct((-F.col("shared")).alias("less"), "d")).alias("m")).select("g", "m.d", (-F.col("m.less")).alias("shared"))
     sizes = best.join(left.groupBy("g").agg(F.count(F.lit(1)).alias("n_g")), "g").join(right.groupBy("d").agg(F.count(F.lit(1)).alias("n_d")), "d")
     ratio = lambda n: F.round(F.col("shared") / n, 6)
     return sizes.select("g", "d", "shared", ratio(F.col("n_g")).alias("recall"), ratio(F.col("n_d")).alias("precision"), ratio(F.col("n_g") + F.col("n_d") - F.col("shared")).alias("iou"))
