@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from tidemark.llm import simhash
 
 
@@ -46,3 +49,45 @@ def test_deduplicated(spark):
     kept = [r.doc_id for r in simhash.deduplicated(docs).collect()]
     assert sorted(x for x in kept if x is not None) == sorted(map(min, groups.values()))
     assert kept.count(None) == 2
+
+
+@pytest.mark.parametrize(("one", "other", "both"), [(8, 10, 8), (9, 9, 8), (20, 25, 20), (90, 90, 80), (450, 450, 400)])
+def test_anchors_find_a_similarity_of_0_8(one, other, both):
+    """The stage's fingerprints: a pair shares an anchor and has few differing bits, unrelated sets do not."""
+    rng, k = np.random.default_rng(5), 1000
+    all_ = rng.permuted(rng.integers(0, 1 << 63, (k, one + other - both), np.uint64) * np.uint64(2), axis=1)
+    a = simhash.wide_fingerprints([np.sort(x[:one]) for x in all_])
+    b = simhash.wide_fingerprints([np.sort(x[one - both :]) for x in all_])
+    far = lambda x, y: np.bitwise_count(x[:, :2] ^ y[:, :2]).sum(1)
+    same = (simhash.block_anchors(a) == simhash.block_anchors(b)).sum(1)
+    assert ((far(a, b) <= simhash.FAR) & (same > 0)).mean() > 0.998
+    assert (far(a, np.roll(b, 1, 0)) <= simhash.FAR).mean() < 0.002
+    assert 0.49 < np.unpackbits(a.view(np.uint8)).mean() < 0.51
+
+
+def test_bits_are_those_of_most_shingles():
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.integers(0, 1 << 63, n, np.uint64)) for n in (1, 3, 255, 257, 1025)]
+    got = simhash.wide_fingerprints(sets)
+    for x, row in zip(sets, got, strict=True):
+        for k in (0, 19):
+            bits = np.unpackbits(simhash.mix(x ^ simhash._SALTS[k]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(int).sum(0)
+            assert (np.unpackbits(row[k : k + 1].view(np.uint8), bitorder="little") == (2 * bits > len(x))).all()
+
+
+@pytest.mark.parametrize("size", [600, 1500])
+def test_clusters_of_small_and_large_groups(size):
+    """Rows with 16 differing bits are told from the others, in groups compared at once and in larger ones (a seed without chance hits)."""
+    rng, k = np.random.default_rng(15), size // 3
+    fp = rng.integers(0, (1 << 64) - 1, (size, 2), np.uint64)
+    fp[-k:] = fp[:k] ^ np.uint64(0xFFFF00000)
+    n = np.full(size, 100)
+    n[-k : -k + 50] = 79
+    assert {tuple(sorted(x.tolist())) for x in simhash.clusters(n, fp, 0.8)} == {(i, size - k + i) for i in range(50, k)}
+
+
+def test_texts_of_eight_and_nine_words(spark):
+    words = np.random.default_rng(8).integers(0, 10**9, (3000, 9)).tolist()
+    rows = [(2 * k, " ".join(map(str, w[:8]))) for k, w in enumerate(words)] + [(2 * k + 1, " ".join(map(str, w))) for k, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == list(range(0, 6000, 2))

@@ -5,8 +5,9 @@ bits, one half has at most 1. The anchors of a half are the words of the perfect
 half has exactly one nearest anchor, and a half one bit away lies within radius + threshold = 2 of that same anchor. Each fingerprint is
 replicated to the anchors within 2 (16 at most) and is compared, per anchor, with the fingerprints whose nearest anchor it is.
 
-The pipeline's stage (deduplicated) takes five words and a similarity of 0.8, which no few differing bits tell: its candidates come from bands
-of minima and are confirmed by the sets of shingles.
+The pipeline's stage (deduplicated) takes five words and a similarity of 0.8, which no few of 64 bits tell: its fingerprints are wider and have
+72 blocks of 15 bits, whose anchors are the words of the perfect Hamming(15, 11) code. Texts with the nearest anchor of any block in common are compared by 128
+further bits; what these leave is confirmed by the sets of shingles.
 """
 
 from __future__ import annotations
@@ -143,32 +144,33 @@ def links_in_groups(anchor: np.ndarray, fp: np.ndarray, near: np.ndarray) -> Ite
         yield from spanning_links(np.unique(fp[first[g] : first[g] + size[g]]))
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor; what the last anchor of a batch has waits for the next batch."""
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns with all rows of each anchor, which comes first. Rows come sorted by anchor; what the last one of a batch has waits for the next batch."""
     held: list[tuple[np.ndarray, ...]] = []
-
-    def out(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        for x, y in links_in_groups(rows[0], rows[1].view(np.uint64), rows[2]):
-            if len(x):
-                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)], ["x", "y"])
-
     for batch in batches:
-        rows = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        rows = tuple(x.to_numpy(zero_copy_only=False) for x in batch.columns)
         if not len(rows[0]):
             continue
         if rows[0][0] == rows[0][-1]:
             if held and held[0][0][0] != rows[0][0]:
-                yield from out(tuple(map(np.concatenate, zip(*held, strict=True))))
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
                 held = []
             held.append(rows)
             continue
         last = int(np.searchsorted(rows[0], rows[0][-1]))
         held.append(tuple(x[:last] for x in rows))
-        yield from out(tuple(map(np.concatenate, zip(*held, strict=True))))
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
         held = [tuple(x[last:] for x in rows)]
     if held:
-        yield from out(tuple(map(np.concatenate, zip(*held, strict=True))))
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _whole(batches):
+        for x, y in links_in_groups(rows[0], rows[1].view(np.uint64), rows[2]):
+            if len(x):
+                pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)], ["x", "y"])
 
 
 def links(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -204,24 +206,130 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Signatures of the stage: BANDS groups of ROWS minima. Texts of similarity 0.8 share no group with a probability of 7e-5.
-BANDS, ROWS = 24, 5
-_MINIMA = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def signatures(hashes: list[np.ndarray]) -> np.ndarray:
-    """(text, band): a hash of ROWS minima of the shingle hashes of each text, none of which is empty."""
-    all_, starts = np.concatenate(hashes), np.cumsum([0, *(len(x) for x in hashes[:-1])])
-    out = np.zeros((len(hashes), BANDS), np.uint64)
+#: Fingerprints of the stage, in words of 64 bits: WIDE bits are compared, and four blocks of BLOCK bits a word are brought to anchors. BLOCKS and FAR, the
+#: most differing bits, are set for a similarity of 0.8, where 0.15 of the bits differ (0.17 of those of a few shingles).
+WIDE, BLOCK, BLOCKS, FAR = 128, 15, 72, 37
+_WORDS = WIDE // 64 + BLOCKS // 4
+_SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, _WORDS, np.uint64)
+#: For each byte its bits, one in each byte of a word.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+#: Odd factors that order the values of a word anew for each byte, and their inverses.
+_ORDER = np.random.default_rng(SEED + 1).integers(0, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
+_BACK = np.array([pow(int(x), -1, 1 << 64) for x in _ORDER], np.uint64)
+#: In groups up to this size all pairs are compared at once.
+_AT_ONCE = 1024
+
+
+def wide_fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
+    """(text, word): a bit is 1 if set in over half the values of a text, none of which has no shingles (sorted). Of two equal halves that of one of the
+    least shingles decides, another for each byte, so that an edit doesn't turn all ties at once."""
+    sizes = np.array([len(x) for x in hashes])
+    # some thousand shingles at a time stay in the cache
+    ends = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // 8000, append=-1)) + 1
+    return np.concatenate([_wide(hashes[a:b], sizes[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+
+
+def _wide(hashes: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    all_, starts = np.concatenate(hashes), np.cumsum(sizes) - sizes
+    # bytes hold sums of 255 rows at most
+    pieces = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(starts, sizes, strict=True)])
+    own = np.searchsorted(pieces, starts)
+    few = np.minimum(sizes, 64)
+    first = np.cumsum(few) - few
+    head = np.arange(few.sum()) + np.repeat(starts - first, few)
+    out = np.zeros((len(hashes), _WORDS), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(BANDS * ROWS):
-            least = np.minimum.reduceat((all_ ^ _MINIMA[0, k]) * _MINIMA[1, k], starts)
-            out[:, k // ROWS] = mix(out[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(k))
+        for k in range(_WORDS):
+            values = mix(all_ ^ _SALTS[k])
+            bytes_, some = values.view(np.uint8).reshape(-1, 8), values[head]
+            sums = np.stack([np.add.reduceat(_LANES[bytes_[:, j]], pieces) for j in range(8)], 1).view(np.uint8)
+            set_ = np.add.reduceat(sums, own, axis=0, dtype=np.int64)
+            one = np.stack([(np.minimum.reduceat(some * _ORDER[j], first) * _BACK[j]).view(np.uint8).reshape(-1, 8)[:, j] for j in range(8)], 1)
+            out[:, k] = np.packbits(2 * set_ + np.unpackbits(one, axis=1, bitorder="little") > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
+def four_shingles(x: np.ndarray) -> list[int]:
+    """Hashes of the sets of four shingles in a set of four or five: where one is more than a fifth, more bits differ, and these sets are told exactly."""
+    held = [x] if len(x) == 4 else [np.delete(x, i) for i in range(5)] if len(x) == 5 else []
+    return [xxhash.xxh64_intdigest(y.tobytes(), SEED + 1) - (1 << 63) for y in held]
+
+
+def block_anchors(fp: np.ndarray) -> np.ndarray:
+    """(text, block): the number of the block and the anchor nearest to it."""
+    blocks = np.stack([fp[:, WIDE // 64 + k // 4] >> np.uint64(BLOCK * (k % 4)) & np.uint64((1 << BLOCK) - 1) for k in range(BLOCKS)], 1)
+    s = _TABLES[0, (blocks & np.uint64(255)).astype(np.int64)] ^ _TABLES[1, (blocks >> np.uint64(8)).astype(np.int64)]
+    return (blocks ^ _ONE_BIT[s.astype(np.int64)]) | np.arange(BLOCKS, dtype=np.uint64) << np.uint64(BLOCK)
+
+
+def clusters(n: np.ndarray, fp: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Indexes of the rows that are connected by links of at most FAR differing bits between sizes that allow the similarity, two at least."""
+    fp = np.ascontiguousarray(fp.T)
+
+    def linked(x, y):
+        near = np.bitwise_count(fp[0][x] ^ fp[0][y]) + np.bitwise_count(fp[1][x] ^ fp[1][y]) <= FAR
+        return near & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9)
+
+    rest = np.arange(len(n))
+    if len(n) <= _AT_ONCE:
+        rest = np.flatnonzero(linked(rest[:, None], rest[None, :]).sum(1) > 1)
+    while len(rest) > 1:
+        todo, out, rest = [rest[0]], [rest[:1]], rest[1:]
+        while todo and len(rest):
+            ok = linked(todo.pop(), rest)
+            if ok.any():
+                out.append(rest[ok])
+                todo.extend(rest[ok])
+                rest = rest[~ok]
+        if len(out) > 1:
+            yield np.concatenate(out)
+
+
+def bands_of(vertices: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(band, __uid, n): what has a block's nearest anchor in common and is connected by near fingerprints; the same rows are one band, by whatever anchor.
+
+    Of texts of similarity 0.8 no block has one nearest anchor, or over FAR bits differ, with a probability under 7e-5; of four and five shingles, more often,
+    and these also meet by the sets of four they have. Beside the bands: the table that they read.
+    """
+    spark = vertices.sparkSession
+    arrow_limits(spark)
+
+    def spread(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, _WORDS)
+            for lo in range(0, len(fp), 1000):
+                part = fp[lo : lo + 1000]
+                at = np.repeat(np.arange(lo, lo + len(part)), BLOCKS)
+                wide = [pa.array(part[at - lo, k].view(np.int64)) for k in range(WIDE // 64)]
+                yield pa.RecordBatch.from_arrays([pa.array(block_anchors(part).ravel().astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *wide], ["anchor", "__uid", "n", "f0", "f1"])
+
+    def compared(batches):
+        for anchor, uid, n, *wide in _whole(batches):
+            fp = np.stack(wide, 1).view(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            bands, uids, sizes = [], [], []
+            for a, b in zip(first, [*first[1:], len(anchor)], strict=True):
+                for at in clusters(n[a:b], fp[a:b], least):
+                    at = a + at[np.argsort(uid[a:b][at])]
+                    bands.append(np.full(len(at), xxhash.xxh64_intdigest(uid[at].tobytes(), SEED), np.uint64))
+                    uids.append(uid[at])
+                    sizes.append(n[at])
+            if bands:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands).view(np.int64)), pa.array(np.concatenate(uids)), pa.array(np.concatenate(sizes))], ["band", "__uid", "n"])
+
+    rows = vertices.where("n > 0").select("__uid", "n", "fp").mapInArrow(spread, "anchor int, __uid bigint, n bigint, f0 bigint, f1 bigint")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    out = cut(rows.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compared, "band bigint, __uid bigint, n bigint").distinct(), "clusters")
+    arrow_limits(spark)
+    few = vertices.select(F.explode("few").alias("band"), "__uid", "n")
+    return out.unionByName(few.join(few.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("band"), "band")), out
+
+
 def shingle_sets(rows: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(__uid, __id, th, key, n, bands, shingles): hashes of the text and of its set of shingles, the set's signature, and the set itself (sorted, 32 bits each)."""
+    """(__uid, __id, th, key, n, fp, few, shingles): hashes of the text and of its set of shingles, the set's fingerprint and `four_shingles`, and the set itself (sorted, 32 bits each)."""
     arrow_limits(rows.sparkSession)
 
     def run(batches):
@@ -230,19 +338,20 @@ def shingle_sets(rows: DataFrame, id_col: str, text: str, width: int) -> DataFra
             for lo, hi in chunks(texts, 2 << 20):
                 hashes = [np.unique(np.array(shingle_hashes(x, width), np.uint64)) for x in texts[lo:hi]]
                 full = [i for i, x in enumerate(hashes) if len(x)]
-                bands = [[] for _ in hashes]
+                fp = [[] for _ in hashes]
                 if full:
-                    for i, row in zip(full, signatures([hashes[i] for i in full]).view(np.int64), strict=True):
-                        bands[i] = row
+                    for i, row in zip(full, wide_fingerprints([hashes[i] for i in full]).view(np.int64), strict=True):
+                        fp[i] = row
                 sets = [np.unique((x >> np.uint64(32)).astype("<u4")) for x in hashes]
                 key = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in hashes], np.uint64).view(np.int64)
                 th = np.array([xxhash.xxh64_intdigest(x, SEED) for x in texts[lo:hi]], np.uint64).view(np.int64)
-                arrays = [th, key, np.array([len(x) for x in sets], np.int64), pa.array(bands, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())]
+                few = [four_shingles(x) for x in sets]
+                arrays = [th, key, np.array([len(x) for x in sets], np.int64), pa.array(fp, pa.list_(pa.int64())), pa.array(few, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())]
                 arrays = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(x if isinstance(x, pa.Array) else pa.array(x) for x in arrays)]
-                yield pa.RecordBatch.from_arrays(arrays, ["__uid", "__id", "th", "key", "n", "bands", "shingles"])
+                yield pa.RecordBatch.from_arrays(arrays, ["__uid", "__id", "th", "key", "n", "fp", "few", "shingles"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select("__uid", id_col, text).mapInArrow(run, f"__uid bigint, __id {kind}, th bigint, key bigint, n bigint, bands array<bigint>, shingles binary")
+    return rows.select("__uid", id_col, text).mapInArrow(run, f"__uid bigint, __id {kind}, th bigint, key bigint, n bigint, fp array<bigint>, few array<bigint>, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -329,11 +438,11 @@ def sharing(ranked: DataFrame, components_: DataFrame, least: float) -> DataFram
 def similar(sets: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
     """(u, component): what links of similarity `least` connect; every vertex but the smallest of each component.
 
-    Vertices that share a band are candidates. First each is compared with the smallest of its band; then, in bands that still lie in several
+    Vertices that share a band (see `bands_of`) are candidates. First each is compared with the smallest of its band; then, in bands that still lie in several
     components, with the most typical vertex of its band; then those of different components that `sharing` doesn't rule out are compared.
     """
-    spread = vertices.select("__uid", "n", F.explode("bands").alias("band"))
-    first = spread.groupBy("band").agg(F.min(F.struct("__uid", "n")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    spread, kept = bands_of(vertices, least)
+    first = spread.groupBy("band").agg(F.min(F.struct("__uid", "n")).alias("f"))
     bands = cut(spread.join(first, "band").select("band", "__uid", "n", "f"), "bands")
     close = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
     stars = bands.where((F.col("__uid") != F.col("f.__uid")) & close(F.col("n"), F.col("f.n"))).select(F.col("f.__uid").alias("u"), F.col("__uid").alias("v")).distinct()
@@ -354,7 +463,7 @@ def similar(sets: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
     rest = sharing(ranked, held(open_.select("__uid").distinct(), found), least)
     fresh = cut(rest.join(stars.unionByName(spokes), ["u", "v"], "left_anti"), "fresh")
     out = found if fresh.isEmpty() else components(as_links(found).unionByName(confirmed(fresh, sets, least)))
-    discard(bands, stars, open_, ranked, spokes, rest, fresh, links_)
+    discard(kept, bands, stars, open_, ranked, spokes, rest, fresh, links_)
     return out
 
 
@@ -362,12 +471,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     """The rows of docs, with all their columns, without near copies: one row of each group stays, that of the smallest id.
 
     Texts are linked if their sets of runs of `width` words have a Jaccard similarity of `least` at least, by the sets themselves; texts with
-    the same set are one vertex. Candidates are found by bands of minima. Of several rows with one id and text one stays. Rows without an id
+    the same set are one vertex. Candidates are found by fingerprints and the anchors of a code. Of several rows with one id and text one stays. Rows without an id
     stay and link nothing.
     """
     rows = cut(docs.withColumn("__uid", F.monotonically_increasing_id()), "rows")
     sets = cut(shingle_sets(rows.where(F.col(id_col).isNotNull()), id_col, text, width), "sets")
-    one = F.min(F.struct("__id", "th", "__uid", "n", "bands")).alias("r")
+    one = F.min(F.struct("__id", "th", "__uid", "n", "fp", "few")).alias("r")
     vertices = cut(sets.groupBy("key").agg(one).select("r.*"), "vertices")
     found = similar(sets, vertices, least).withColumnRenamed("u", "__uid")
     named = vertices.select("__uid", "__id", "th").join(found, "__uid", "left")
