@@ -74,3 +74,12 @@ def test_rows_without_ids_and_licence_files(spark):
     own = spark.createDataFrame([("a/LICENSE.txt", "MIT", 1.0)], "path string, license string, score double")
     out = licenses.inherited(files, own, own.select(licenses.directory(F.col("path")).alias("directory"), "license"))
     assert sorted((r.path or "", r.license, r.origin) for r in out.collect()) == [("", None, "none"), ("a/LICENSE.txt", "MIT", "own"), ("a/b/COPYING", "MIT", "directory:a"), ("a/b/license_holders.py", "MIT", "directory:a")]
+
+
+def test_documents_with_paths_inherit(spark):
+    mit, apache = "Released under the MIT License", "Licensed under the Apache License, Version 2.0"
+    rows = [(1, mit, "web", "a/LICENSE"), (2, "prose", "web", "a/b/c.py"), (3, apache, "web", "a/b/d.py"), (4, "prose", "web", "z.py"), (5, "prose", "web", None), (None, "prose", None, "a/e.py"), (None, mit, None, None), (6, apache, "web", "a/d/COPYING"), (7, None, "web", "a/d/x/y.py")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, path string")
+    got = sorted(((r.doc_id or 0, r.path, r.license, r.origin) for r in licenses.report(docs).collect()), key=str)
+    want = [(0, "a/e.py", "MIT", "directory:a"), (0, None, "MIT", "own"), (1, "a/LICENSE", "MIT", "own"), (2, "a/b/c.py", "MIT", "directory:a"), (3, "a/b/d.py", "Apache-2.0", "own")]
+    assert got == sorted([*want, (4, "z.py", None, "none"), (5, "web/5", None, "none"), (6, "a/d/COPYING", "Apache-2.0", "own"), (7, "a/d/x/y.py", "Apache-2.0", "directory:a/d")], key=str)

@@ -181,10 +181,11 @@ def inherited(files: DataFrame, own: DataFrame, grants: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, path, license, score and origin of each document.
 
-    A document's path is its source and id; one without an id has no path, and its own licence only. A directory's licence is that of its licence
-    files, which are told by their names: where no document has such a name, none inherits.
+    A document's path is that of its column `path`, if there is one; else, or where it is null, its source and id. One without either has no path, and
+    its own licence only. A directory's licence is that of its licence files, which are told by their names: where no document has such a name, none inherits.
     """
-    files = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.col("doc_id").cast("string"))).alias("path"), "text")
+    path = F.when(F.col("doc_id").isNotNull(), F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.col("doc_id").cast("string")))
+    files = docs.select("doc_id", (F.coalesce("path", path) if "path" in docs.columns else path).alias("path"), "text")
     own = cut(stated(files), "licences")
     named = cut(files.select("doc_id", "path", *_text_key(F.col("text"))).join(own, ["h1", "h2"], "left").select("doc_id", "path", "license", "score"), "named")
     said = named.where("license is not null and path is not null")
