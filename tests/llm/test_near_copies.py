@@ -91,3 +91,15 @@ def test_texts_of_eight_and_nine_words(spark):
     rows = [(2 * k, " ".join(map(str, w[:8]))) for k, w in enumerate(words)] + [(2 * k + 1, " ".join(map(str, w))) for k, w in enumerate(words)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == list(range(0, 6000, 2))
+
+
+def test_bands_of_a_large_group_hang_on_few_hubs(spark):
+    """Of 600 near copies each comes once for a hub, not once for every anchor, and bands keep what shares an anchor together."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(170)]
+    rows = [(k, k, " ".join(f"x{k}" if i in own else w for i, w in enumerate(base))) for k in range(600) for own in [rng.sample(range(170), 3)]]
+    sets = simhash.shingle_sets(spark.createDataFrame(rows, "__uid long, doc_id long, text string").repartition(4), "doc_id", "text", 5)
+    found = [tuple(r) for r in simhash.bands_of(sets, 0.8)[0].collect()]
+    assert len(found) < 36 * 600
+    assert {r[1] for r in found} | {r[0] for r in found} == set(range(600))
+    assert len({r[:2] for r in found}) == len(found) and all(r[0] < r[1] for r in found)

@@ -218,6 +218,8 @@ _ORDER = np.random.default_rng(SEED + 1).integers(0, 1 << 63, 8, np.uint64) * np
 _BACK = np.array([pow(int(x), -1, 1 << 64) for x in _ORDER], np.uint64)
 #: In groups up to this size all pairs are compared at once.
 _AT_ONCE = 1024
+#: So many hubs, the nearest, are compared first with what hangs on them; a vertex has one a block at most.
+_NEAREST = 8
 
 
 def wide_fingerprints(hashes: list[np.ndarray]) -> np.ndarray:
@@ -286,10 +288,11 @@ def clusters(n: np.ndarray, fp: np.ndarray, least: float) -> Iterator[np.ndarray
 
 
 def bands_of(vertices: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(band, __uid, n): what has a block's nearest anchor in common and is connected by near fingerprints; the same rows are one band, by whatever anchor.
+    """(hub, __uid, n, m, far): what has a block's nearest anchor in common and is connected by near fingerprints hangs on its smallest row, the hub; the same
+    row of one hub comes once, by however many anchors. n and m are the sizes of row and hub, far the differing bits.
 
     Of texts of similarity 0.8 no block has one nearest anchor, or over FAR bits differ, with a probability under 7e-5; of four and five shingles, more often,
-    and these also meet by the sets of four they have. Beside the bands: the table that they read.
+    and these also meet by the sets of four they have. Beside the rows: the table that they read.
     """
     spark = vertices.sparkSession
     arrow_limits(spark)
@@ -309,23 +312,26 @@ def bands_of(vertices: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
         for anchor, uid, n, *wide in _whole(batches):
             fp = np.stack(wide, 1).view(np.uint64)
             first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            bands, uids, sizes = [], [], []
+            hubs, members = [], []
             for a, b in zip(first, [*first[1:], len(anchor)], strict=True):
                 for at in clusters(n[a:b], fp[a:b], least):
                     at = a + at[np.argsort(uid[a:b][at])]
-                    bands.append(np.full(len(at), xxhash.xxh64_intdigest(uid[at].tobytes(), SEED), np.uint64))
-                    uids.append(uid[at])
-                    sizes.append(n[at])
-            if bands:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands).view(np.int64)), pa.array(np.concatenate(uids)), pa.array(np.concatenate(sizes))], ["band", "__uid", "n"])
+                    hubs.append(np.full(len(at) - 1, at[0]))
+                    members.append(at[1:])
+            if hubs:
+                hub, own = np.concatenate(hubs), np.concatenate(members)
+                far = np.bitwise_count(fp[hub] ^ fp[own]).sum(1, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[hub], uid[own], n[own], n[hub], far)], ["hub", "__uid", "n", "m", "far"])
 
     rows = vertices.where("n > 0").select("__uid", "n", "fp").mapInArrow(spread, "anchor int, __uid bigint, n bigint, f0 bigint, f1 bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    out = cut(rows.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compared, "band bigint, __uid bigint, n bigint").distinct(), "clusters")
+    out = cut(rows.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compared, "hub bigint, __uid bigint, n bigint, m bigint, far int").distinct(), "clusters")
     arrow_limits(spark)
     few = vertices.select(F.explode("few").alias("band"), "__uid", "n")
-    return out.unionByName(few.join(few.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("band"), "band")), out
+    least_ = few.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("__uid", "n")).alias("h")).where("k > 1").select("band", "h")
+    few = few.join(least_, "band").where("__uid != h.__uid").select(F.col("h.__uid").alias("hub"), "__uid", "n", F.col("h.n").alias("m"), F.lit(0).alias("far"))
+    return out.unionByName(few), out
 
 
 def shingle_sets(rows: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
@@ -438,32 +444,34 @@ def sharing(ranked: DataFrame, components_: DataFrame, least: float) -> DataFram
 def similar(sets: DataFrame, vertices: DataFrame, least: float) -> DataFrame:
     """(u, component): what links of similarity `least` connect; every vertex but the smallest of each component.
 
-    Vertices that share a band (see `bands_of`) are candidates. First each is compared with the smallest of its band; then, in bands that still lie in several
-    components, with the most typical vertex of its band; then those of different components that `sharing` doesn't rule out are compared.
+    What hangs on one hub (see `bands_of`) is a band, and its vertices are candidates. First each is compared with its nearest hubs; then, in bands that still
+    lie in several components, with the most typical vertex of its band; then those of different components that `sharing` doesn't rule out are compared,
+    which misses none of open bands. A vertex has a pair for each block at most in the steps before.
     """
     spread, kept = bands_of(vertices, least)
-    first = spread.groupBy("band").agg(F.min(F.struct("__uid", "n")).alias("f"))
-    bands = cut(spread.join(first, "band").select("band", "__uid", "n", "f"), "bands")
+    bands = cut(spread, "bands")
     close = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
-    stars = bands.where((F.col("__uid") != F.col("f.__uid")) & close(F.col("n"), F.col("f.n"))).select(F.col("f.__uid").alias("u"), F.col("__uid").alias("v")).distinct()
-    stars = cut(stars, "stars")
+    nearest = F.slice(F.array_sort(F.collect_set(F.struct("far", "hub"))), 1, _NEAREST)["hub"].alias("hubs")
+    hubs = bands.where(close(F.col("n"), F.col("m"))).groupBy("__uid").agg(nearest)
+    stars = cut(hubs.select(F.explode("hubs").alias("u"), F.col("__uid").alias("v")).distinct(), "stars")
     links_ = cut(confirmed(stars, sets, least), "links")
     held = lambda rows, found: rows.join(found.select(F.col("u").alias("__uid"), "component"), "__uid", "left").select(*rows.columns, F.coalesce("component", "__uid").alias("c"))
     found = components(links_)
     as_links = lambda found: found.select("u", F.col("component").alias("v"))
-    named = held(bands.select("band", "__uid", "n"), found)
-    mixed = named.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").select("band")
-    open_ = cut(named.join(mixed, "band"), "open")
+    ends = held(bands.select("__uid", "hub", "m"), found).select(F.col("hub").alias("__uid"), "m", F.col("c").alias("d"))
+    mixed = cut(held(ends, found).where("c != d").groupBy(F.col("__uid").alias("hub")).agg(F.min("m").alias("n")), "mixed")
+    rows = bands.join(mixed.select("hub"), "hub").select("hub", "__uid", "n").unionByName(mixed.select("hub", F.col("hub").alias("__uid"), "n"))
+    open_ = cut(held(rows, found), "open")
     ranked = rarest_shingles(open_.select("__uid", "n").distinct(), sets, least)
     likely = open_.join(ranked.select("__uid", "typical").distinct(), "__uid")
-    middle = likely.groupBy("band").agg(F.max(F.struct("typical", "__uid", "n", "c")).alias("m"))
-    spokes = likely.join(middle, "band").where((F.col("c") != F.col("m.c")) & close(F.col("n"), F.col("m.n")))
+    middle = likely.groupBy("hub").agg(F.max(F.struct("typical", "__uid", "n", "c")).alias("m"))
+    spokes = likely.join(middle, "hub").where((F.col("c") != F.col("m.c")) & close(F.col("n"), F.col("m.n")))
     spokes = cut(spokes.select(F.least("__uid", "m.__uid").alias("u"), F.greatest("__uid", "m.__uid").alias("v")).distinct(), "spokes")
     found = components(as_links(found).unionByName(confirmed(spokes, sets, least)))
     rest = sharing(ranked, held(open_.select("__uid").distinct(), found), least)
     fresh = cut(rest.join(stars.unionByName(spokes), ["u", "v"], "left_anti"), "fresh")
     out = found if fresh.isEmpty() else components(as_links(found).unionByName(confirmed(fresh, sets, least)))
-    discard(kept, bands, stars, open_, ranked, spokes, rest, fresh, links_)
+    discard(kept, bands, stars, mixed, open_, ranked, spokes, rest, fresh, links_)
     return out
 
 
