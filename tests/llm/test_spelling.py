@@ -90,6 +90,24 @@ def test_crowded_segments(spark, monkeypatch):
     assert found(got) == plain(n)
 
 
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """A vocabulary's files may be small, while what is exploded from it is not: no join sends a side through the driver."""
+    plans = []
+
+    def seen(df, name="table", held=spelling.cut):
+        plans.append(df)
+        return held(df, name)
+
+    monkeypatch.setattr(spelling, "cut", seen)
+    r = random.Random(3)
+    n = {"".join(r.choices("abc", k=r.randint(5, 7))): r.randint(3, 300) for _ in range(400)}
+    vocabulary = spelling.cut(spark.createDataFrame(list(n.items()), "word string, n long"), "words")
+    got = spelling.grouped(vocabulary).select("word", "form", "root", "n", "n_near", "form_n")
+    assert found(got) == plain(n)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (*plans, got)]
+    assert sum("Join" in x for x in plans) >= 4 and not any("Broadcast" in x for x in plans)
+
+
 def test_one_edit_belongs_to_one_part():
     """Of all ways to divide a word, exactly one part holds the edit."""
     for a in ("aab", "abcab", "aaaa", "a"):

@@ -7,6 +7,9 @@ the place of the edit is known to a sign, where the alphabet bounds the pairs. S
 
 Keys are dealt to shards. A shard's automaton (Aho-Corasick) holds the segments of the words that own entries there; all words that have come
 to the shard are scanned, a hit must be at the segment's place in a word of a fitting length, and the distance is verified on whole words.
+
+All joins are merge joins: Spark sizes a table by its compressed files, and what is exploded from it no larger, so it would broadcast through the
+driver what has many times that size.
 """
 
 from __future__ import annotations
@@ -66,7 +69,7 @@ def _entries(vocabulary: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         wide = F.first(F.col("hi") - F.col("lo")) > 1
         keys = level.groupBy("key").agg(pairs.alias("pairs"), wide.alias("wide")).where("pairs > 0")
         keys = keys.select("key", ((F.col("pairs") > MOST_PAIRS) & F.col("wide")).alias("again"))
-        rows = cut(level.join(keys, "key"), "entries")
+        rows = cut(level.join(keys.hint("merge"), "key"), "entries")
         tables.append(rows)
         leaves.append(rows.where("not again").drop("again"))
         level = rows.where("again").drop("again", "key")
@@ -162,7 +165,7 @@ def roots(links: DataFrame) -> DataFrame:
     at = cut(links.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = at.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        new = cut(at.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        new = cut(at.join(on.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         discard(at)
         at = new
         if at.where("moved").isEmpty():
@@ -173,11 +176,11 @@ def grouped(vocabulary: DataFrame, least_ratio: int = 2) -> DataFrame:
     """word, n, n_near, form, form_n and root for each word: the form is the near word of largest n, if that is at least least_ratio times the word's n."""
     if least_ratio < 2:
         raise ValueError("least_ratio must be at least 2, or forms could lead in a circle")
-    rows = vocabulary.join(near_words(vocabulary), "word", "left")
+    rows = vocabulary.join(near_words(vocabulary).hint("merge"), "word", "left")
     formed = F.col("near_n") >= least_ratio * F.col("n")
     rows = rows.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(formed, F.col("near")).alias("form"), F.when(formed, F.col("near_n")).alias("form_n"))
     rows = cut(rows, "forms")
-    return rows.join(roots(rows.where("form is not null")), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return rows.join(roots(rows.where("form is not null")).hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def report(docs: DataFrame) -> DataFrame:
