@@ -93,6 +93,35 @@ def test_copies_take_no_rounds(spark, monkeypatch):
     assert groups_of(linkage.average_linkage(df, ["k"], 0.65, most=10)) == want
 
 
+@pytest.mark.parametrize("kind", ["spread", "copied", "template"])
+def test_lists_leave_no_doubt(monkeypatch, kind):
+    """Rounds of short lists merge what the whole matrix merges: spread vectors, many near copies of a few, and one template that is everyone's nearest."""
+    r = np.random.default_rng(4)
+    x = {"spread": r.normal(size=(900, 16)), "copied": np.repeat(r.normal(size=(12, 16)), 70, 0) + 0.2 * r.normal(size=(840, 16)), "template": np.vstack([np.ones(64), np.ones(64) + 0.2 * r.normal(size=(600, 64))])}[kind]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    monkeypatch.setattr(linkage, "MATRIX", 3)
+    monkeypatch.setattr(linkage, "LISTED", 9)
+    for threshold in (0.3, 0.65, 0.9):
+        root = linkage.linked_groups(x, np.ones(len(x)), threshold)
+        assert sorted([*np.flatnonzero(root == i)] for i in set(root)) == sorted(linkage.chain_groups(x, np.ones(len(x)), threshold))
+
+
+def test_rounds_are_few(spark, monkeypatch):
+    """A key of many tasks needs a few rounds of jobs, whose lists are compared in blocks and merged in several tasks."""
+    monkeypatch.setattr(linkage, "LIST_BLOCK", 150, raising=False)
+    monkeypatch.setattr(linkage, "MOST_LISTED", 260, raising=False)
+    x = np.random.default_rng(6).normal(size=(700, 12))
+    df = spark.createDataFrame([(k, i, v.tolist()) for k, lo, hi in (("a", 0, 600), ("b", 500, 700)) for i, v in enumerate(x) if lo <= i < hi], "k string, vec_id long, embedding array<double>").repartition(3)
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    got = spark.createDataFrame(linkage.average_linkage(df, ["k"], 0.5, most=20).collect(), "k string, vec_id long, root long")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for k, lo, hi in (("a", 0, 600), ("b", 500, 700)):
+        assert groups_of(got.where(F.col("k") == k)) == sorted([lo + i for i in g] for g in linkage.chain_groups(x[lo:hi], np.ones(hi - lo), 0.5))
+    assert jobs < 150, jobs
+
+
 def test_queries_by_label(spark, sf_dir):
     """Whole labels of the table."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label < 3")

@@ -1,9 +1,11 @@
 """Clusters of vectors: average linkage, candidates for merging, members that no longer fit, splits by geometry.
 
 The likeness of two groups is the mean dot product of their members, which is the dot product of their mean vectors; so a group is its mean and
-its size, and no matrix of all pairs is kept beyond what one task works on. A group forms only above a threshold, so its members hang
-together by links above it: a key with too many vectors for one task is divided into connected parts, and a part that is still too large is
-merged in rounds, in each of which all pairs that are each other's nearest merge at once.
+its size, and no matrix of all pairs is kept. Likenesses to a merged group lie between those to its halves, so two groups that are each other's
+nearest may merge at any time, a group without any likeness at the threshold is done, and a bound on what a group doesn't know of stays a
+bound. A round lists for each group its nearest ones, with a bound on all others, by matrix products; from the lists all merges follow that the
+bounds leave no doubt of, a few rounds in all. A key with too many vectors for one task has its rounds as jobs, in which blocks are compared two
+at a time, until what is left of it fits a task.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import kept, stored
 
-#: Vectors that one task links (its matrix of likenesses has so many rows), and those of one block where more are compared.
-MOST_IN_TASK, BLOCK = 2_000, 2_000
+#: Groups that one task links in rounds of its own, those that a task has the lists of, and those of one block where more are compared: by whole
+#: matrices, and by strips for lists.
+MOST_IN_TASK, MOST_LISTED, BLOCK, LIST_BLOCK = 20_000, 100_000, 2_000, 16_000
+#: Groups whose matrix of likenesses is kept; the products made at a time; the nearest that a list has at most; of so many others the third nearest of one is where a list ends.
+MATRIX, PRODUCTS, LISTED, OF_WHICH_ONE = 1_000, 1 << 22, 64, 8
 #: Likenesses are compared to so many decimals, so that both sides of a pair see the same.
 DECIMALS = 12
 
@@ -27,8 +32,11 @@ def unit(vector: Column) -> Column:
     """The vector at length one; null for null, zero and non-finite vectors."""
     x = F.transform(vector, lambda v: v.cast("double"))
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    sound = (norm > 0) & (norm < float("inf")) & ~F.isnan(norm)
-    return F.when(sound, F.transform(x, lambda v: v / norm))
+
+    def divided(n: Column) -> Column:
+        return F.when((n > 0) & (n < float("inf")) & ~F.isnan(n), F.transform(x, lambda v: v / n))
+
+    return F.transform(F.array(norm), divided)[0]  # the norm is computed once, not for each element
 
 
 def chain_groups(means: np.ndarray, sizes: np.ndarray, threshold: float) -> list[list[int]]:
@@ -64,22 +72,133 @@ def chain_groups(means: np.ndarray, sizes: np.ndarray, threshold: float) -> list
     return [sorted(members[i]) for i in sorted(done)]
 
 
+def near_lists(one: np.ndarray, other: np.ndarray, at: np.ndarray, over: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one (means named at), ascending, with rows of other (named over) near them and the likenesses, LISTED a row at most; and for each
+    row of one a bound, at or above its likeness to all that aren't listed. A bound under the threshold says that the list is whole.
+
+    Products are made in single precision, which is off by `slack` at most, and those near enough again in double precision; where that leaves too
+    many, as of vectors that are almost equal, all are.
+    """
+    k, slack = len(other), (one.shape[1] + 8) * 2.0**-24
+    floor, order = threshold - 10.0**-DECIMALS, np.random.default_rng(k).permutation(k)  # so the first are a fair sample
+    left, right, names, some = one.astype(np.float32), np.ascontiguousarray(other[order].T, np.float32), over[order], max(3, k // OF_WHICH_ONE)
+    strip, bound, found, exact = max(16, min(512, PRODUCTS // k)), np.empty(len(one)), [], None
+
+    def near(s: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        cut = np.full(len(s), floor)
+        if k > LISTED:
+            cut = np.maximum(cut, np.partition(s[:, :some], some - 3, axis=1)[:, some - 3] - slack)
+        return cut, np.flatnonzero(s >= np.nextafter((cut - slack).astype(s.dtype), s.dtype.type(-np.inf))[:, None])
+
+    for lo in range(0, len(one), strip):
+        cut, hits = near(left[lo : lo + strip] @ right, slack)
+        if len(hits) > 4 * LISTED * len(cut):
+            exact = np.ascontiguousarray(other[order].T) if exact is None else exact
+            cut, hits = near(one[lo : lo + strip] @ exact, 10.0**-DECIMALS)
+        i, j = np.divmod(hits, k)
+        i, j = (x[at[lo + i] != names[j]] for x in (i, j))
+        j = order[j]
+        v, n = np.empty(len(i)), np.bincount(i, minlength=len(cut))
+        for x in range(0, len(i), 1 << 16):  # many where vectors are equally far
+            v[x : x + (1 << 16)] = np.einsum("ij,ij->i", one[lo + i[x : x + (1 << 16)]], other[j[x : x + (1 << 16)]])
+        if (n > LISTED).any():
+            by = np.lexsort((over[j], -np.round(v, DECIMALS), i))
+            i, j, v = i[by], j[by], v[by]
+            place = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            last = (place == LISTED - 1) & (n[i] > LISTED)
+            cut[i[last]] = np.maximum(cut[i[last]], np.maximum(v[last], threshold + 10.0**-DECIMALS))
+            i, j, v = (x[place < LISTED] for x in (i, j, v))
+        bound[lo : lo + strip] = cut
+        found.append((lo + i, j, v))
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), bound
+
+
+def merge_certain(means: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, bound: np.ndarray, threshold: float, scan: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Merges rows that are certainly each other's nearest, by chains of nearest partners as in `chain_groups`, and puts means and sizes in place.
+
+    i, j: pairs of rows of which one lists the other; bound: at or above a row's likeness to all that no such pair has. Returns the first member of
+    each row's group, and whether the group is done: nothing is near enough to merge with it. Where a nearest partner isn't certain, a chain waits
+    for another round; with scan, it is looked for in all rows.
+    """
+    n, slack = len(means), 2 * 10.0**-DECIMALS
+    root, gone, done, waits, bound = np.arange(n), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool), bound.copy()
+    a, b = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.argsort(a, kind="stable")
+    near_by = np.split(b[order], np.searchsorted(a[order], np.arange(1, n)))
+
+    def now(x: np.ndarray) -> np.ndarray:
+        while not np.array_equal(y := root[x], x):
+            x = y
+        return x
+
+    for first in range(n):
+        chain = [first] if not (gone[first] or done[first] or waits[first]) else []
+        while chain:
+            tip, before = chain[-1], chain[-2] if len(chain) > 1 else -1
+            known = np.unique(now(near_by[tip]))
+            known = near_by[tip] = known[(known != tip) & ~done[known]]
+            row = np.round(means[known] @ means[tip], DECIMALS)
+            value = row.max(initial=-np.inf)
+            sure, whole = value >= bound[tip] - slack, bound[tip] < threshold
+            if scan and not (sure or whole):
+                known, sure = np.flatnonzero(~(gone | done)), True
+                known = known[known != tip]
+                row = np.round(means[known] @ means[tip], DECIMALS)
+                value = row.max(initial=-np.inf)
+            if value < threshold and (sure or whole):  # likenesses only grow along a chain, so none of it can merge
+                done[chain] = True
+                break
+            near = int(known[row.argmax()]) if sure else tip
+            if not sure or waits[near]:
+                waits[chain] = True
+                break
+            if before < 0 or not (row[known == before] == value).any():
+                chain.append(near)
+                continue
+            x, y = min(tip, before), max(tip, before)
+            size = sizes[x] + sizes[y]
+            means[x] = (means[x] * sizes[x] + means[y] * sizes[y]) / size
+            bound[x] = (bound[x] * sizes[x] + bound[y] * sizes[y]) / size
+            sizes[x], root[y], gone[y] = size, x, True
+            near_by[x], near_by[y] = np.concatenate([near_by[x], near_by[y]]), near_by[y][:0]
+            chain = chain[:-2] or [x]
+    root = now(np.arange(n))
+    return root, done[root]
+
+
+def linked_groups(means: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """The first member of each row's group by average linkage: rounds of lists, and a matrix for the last MATRIX rows. Where a round merges few, the
+    rest is one chain, which looks through all rows where the lists leave a doubt."""
+    means, sizes = means.copy(), sizes.astype(np.float64)
+    root, at, scan = np.arange(len(means)), np.arange(len(means)), False  # at: groups that aren't done
+    while len(at) > MATRIX:
+        some, n = means[at], sizes[at]
+        i, j, _, bound = near_lists(some, some, at, at, threshold)
+        new, done = merge_certain(some, n, i, j, bound, threshold, scan)
+        root[at] = at[new]
+        means[at], sizes[at] = some, n
+        left = at[(new == np.arange(len(at))) & ~done]
+        at, scan = left, len(left) > 0.95 * len(at)
+    for group in chain_groups(means[at], sizes[at], threshold):
+        root[at[group]] = at[group[0]]
+    while not np.array_equal(root[root], root):
+        root = root[root]
+    return root
+
+
 def _in_task(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """(block, at, root) of groups (block, at, mean, n) that one task has whole."""
     rows = rows.sort_values("at", kind="stable").reset_index(drop=True)
     at = rows["at"].to_numpy()
-    root = at.copy()
-    for group in chain_groups(np.stack(rows["mean"].to_numpy()), rows["n"].to_numpy(), threshold):
-        root[group] = at[group[0]]
-    return pd.DataFrame({"block": rows["block"], "at": at, "root": root})
+    return pd.DataFrame({"block": rows["block"], "at": at, "root": at[linked_groups(np.stack(rows["mean"].to_numpy()), rows["n"].to_numpy(), threshold)]})
 
 
-def _compared(rows: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """work on every two parts of at most about BLOCK rows of each block (rows: block, at, mean, and extra): (one part, another, whether they are the same).
+def _compared(rows: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, extra: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
+    """work on every two parts of at most about `block` (BLOCK) rows of each block (rows: block, at, mean, and extra): (one part, another, whether they are the same).
 
     Every row goes to as many tasks as its block has parts. What a task returns must be linear in its rows.
     """
-    n = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    n = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (block or BLOCK)).cast("int").alias("parts"))
     rows = rows.join(n, "block").withColumn("part", F.pmod(F.xxhash64("at"), F.col("parts")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("lo"), F.greatest("part", o).alias("hi")))
     dealt = rows.select("block", "at", "mean", *extra, "part", F.explode(others).alias("o")).select("block", "at", "mean", *extra, "part", "o.lo", "o.hi")
@@ -98,95 +217,70 @@ def _likeness(one: pd.DataFrame, other: pd.DataFrame) -> np.ndarray:
     return np.round(np.stack(one["mean"].to_numpy()) @ np.stack(other["mean"].to_numpy()).T, DECIMALS)
 
 
-def _linked(rows: DataFrame, threshold: float) -> DataFrame:
-    """(block, a, b): links that connect what is linked at the threshold; each task returns fewer than it has rows."""
+def _listed(groups: DataFrame, threshold: float) -> DataFrame:
+    """(block, at, near, others, sims, bound): each group's list, and the nearest of it, of ties the smallest."""
 
     def work(one: pd.DataFrame, other: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = _likeness(one, other) >= threshold
-        at, over = one["at"].to_numpy(), other["at"].to_numpy()
-        left, out = np.ones(len(at), bool), []
-        free = np.ones(len(over), bool)
-        while left.any():  # what hangs together with the first that is left
-            first = int(left.argmax())
-            front, seen = np.zeros(len(at), bool), np.zeros(len(at), bool)
-            front[first] = True
-            reached = np.zeros(len(over), bool)
-            while front.any():
-                seen |= front
-                new = near[front].any(0) & free & ~reached
-                reached |= new
-                front = near[:, new].any(1) & ~seen
-                if same:
-                    front |= new & ~seen
-            left &= ~seen
-            free &= ~reached
-            out += [(at[first], x) for x in at[seen] if x != at[first]] + [(at[first], x) for x in over[reached] if x != at[first]]
-        return pd.DataFrame({"block": one["block"].iloc[0], "a": np.array([a for a, _ in out], at.dtype), "b": np.array([b for _, b in out], at.dtype)})
-
-    return _compared(rows, work, "block string, a bigint, b bigint").distinct()
-
-
-def connected(links: DataFrame) -> DataFrame:
-    """(block, at, part): the smallest member of what hangs together by links (block, a, b). Labels pass along links and then along labels, until none changes."""
-    both = stored(links.select("block", "a", "b").union(links.select("block", "b", "a")).distinct().toDF("block", "at", "to"))
-    labels = stored(both.groupBy("block", "at").agg(F.min("to").alias("m")).select("block", "at", F.least("at", "m").alias("part")))
-    while True:
-        passed = both.join(labels.withColumnRenamed("at", "to"), ["block", "to"]).groupBy("block", "at").agg(F.min("part").alias("m"))
-        new = labels.join(passed, ["block", "at"]).select("block", "at", F.least("part", "m").alias("new"), "part")
-        on = new.select("block", F.col("at").alias("new"), F.col("new").alias("further"))
-        new = stored(new.join(on, ["block", "new"]).select("block", "at", F.least("new", "further").alias("new"), "part"))
-        labels = new.select("block", "at", F.col("new").alias("part"))
-        if new.where("new <> part").isEmpty():
-            return labels
+        out = []
+        for side, over in ((one, other),) if same else ((one, other), (other, one)):
+            at, names = side["at"].to_numpy(), over["at"].to_numpy()
+            i, j, v, bound = near_lists(np.stack(side["mean"].to_numpy()), np.stack(over["mean"].to_numpy()), at, names, threshold)
+            ends = np.searchsorted(i, np.arange(1, len(at)))
+            out.append(pd.DataFrame({"block": side["block"].to_numpy(), "at": at, "others": np.split(names[j], ends), "sims": np.split(v, ends), "bound": bound}))
+        return pd.concat(out)
 
+    found = _compared(groups, work, "block string, at bigint, others array<bigint>, sims array<double>, bound double", block=LIST_BLOCK)
+    found = found.groupBy("block", "at").agg(F.flatten(F.collect_list(F.arrays_zip("others", "sims"))).alias("l"), F.max("bound").alias("bound"))
+    found = found.withColumn("l", F.filter("l", lambda x: x["sims"] >= F.col("bound") - 10.0**-DECIMALS))
+    nearest = F.array_min(F.transform("l", lambda x: F.struct((-F.round(x["sims"], DECIMALS)).alias("less"), x["others"].alias("other"))))
+    return found.select("block", "at", F.coalesce(nearest["other"], F.col("at")).alias("near"), F.col("l.others").alias("others"), F.col("l.sims").alias("sims"), "bound")
 
-def _nearest(groups: DataFrame, threshold: float) -> DataFrame:
-    """(block, at, sim, other): each group's nearest, of ties the smallest, where it is at the threshold or above."""
 
-    def work(one: pd.DataFrame, other: pd.DataFrame, same: bool) -> pd.DataFrame:
-        sim = _likeness(one, other)
-        if same:
-            np.fill_diagonal(sim, -np.inf)
-        out = []
-        for side, over, s in ((one, other, sim), *(() if same else ((other, one, sim.T),))):
-            best = s.argmax(1)
-            value = s[np.arange(len(side)), best]
-            ok = value >= threshold
-            out.append(pd.DataFrame({"block": side["block"].to_numpy()[ok], "at": side["at"].to_numpy()[ok], "sim": value[ok], "other": over["at"].to_numpy()[best[ok]]}))
-        return pd.concat(out)
+def _merged(groups: DataFrame, threshold: float) -> DataFrame:
+    """(block, at, root, mean, n): what groups (block, at, mean, n) have merged with in a round; mean is null but for those that may merge further.
+
+    Where a block is dealt to several tasks, those that are each other's nearest meet, and what a task doesn't have counts to the bounds.
+    """
 
-    found = _compared(groups, work, "block string, at bigint, sim double, other bigint")
-    best = found.groupBy("block", "at").agg(F.min(F.struct((-F.col("sim")).alias("less"), F.col("other").alias("other"))).alias("b"))
-    return best.select("block", "at", (-F.col("b.less")).alias("sim"), F.col("b.other").alias("other"))
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at", kind="stable")
+        at, bound = rows["at"].to_numpy(), rows["bound"].to_numpy().copy()
+        i, names, sims = np.repeat(np.arange(len(at)), rows["others"].map(len)), np.concatenate(rows["others"].to_numpy()).astype(at.dtype), np.concatenate(rows["sims"].to_numpy())
+        j = np.minimum(np.searchsorted(at, names), len(at) - 1)
+        here = at[j] == names
+        np.maximum.at(bound, i[~here], sims[~here])
+        means, sizes = np.stack(rows["mean"].to_numpy()), rows["n"].to_numpy().astype(np.float64)
+        root, done = merge_certain(means, sizes, i[here], j[here], bound, threshold)
+        going = (root == np.arange(len(at))) & ~done
+        return pd.DataFrame({"block": rows["block"].to_numpy(), "at": at, "root": at[root], "mean": [m if g else None for m, g in zip(means, going, strict=True)], "n": sizes.astype(np.int64)})
+
+    parts = groups.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / MOST_LISTED).alias("parts"))
+    # What is made of lists is larger than Spark takes it for, so it is not to be broadcast.
+    rows = groups.join(_listed(groups, threshold).hint("merge"), ["block", "at"]).join(parts, "block")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.least("at", "near")), F.col("parts")))
+    return rows.groupBy("block", "part").applyInPandas(work, "block string, at bigint, root bigint, mean array<double>, n bigint")
 
 
 def _in_rounds(groups: DataFrame, threshold: float, most: int) -> DataFrame:
     """(block, at, root) of groups (block, at, mean, n) in blocks too large for a task."""
-    groups = stored(groups)
-    roots, out = stored(groups.select("block", "at", F.col("at").alias("root"))), None
+    groups, roots, small = stored(groups), None, None
     while True:
-        near = stored(_nearest(groups, threshold))
-        back = near.select("block", F.col("other").alias("at"), F.col("at").alias("other"))
-        merges = stored(near.join(back, ["block", "at", "other"]).where("at < other").select("block", "at", F.col("other").alias("gone")))
-        if not merges.isEmpty():
-            gone = groups.join(merges.select("block", F.col("gone").alias("at"), F.col("at").alias("into")), ["block", "at"]).select("block", F.col("into").alias("at"), F.col("mean").alias("mean2"), F.col("n").alias("n2"))
-            stay = groups.join(merges.select("block", F.col("gone").alias("at")), ["block", "at"], "left_anti").join(gone, ["block", "at"], "left")
-            both = F.zip_with("mean", "mean2", lambda x, y: (x * F.col("n") + y * F.col("n2")) / (F.col("n") + F.col("n2")))
-            groups = stored(stay.select("block", "at", F.when(F.col("n2").isNull(), F.col("mean")).otherwise(both).alias("mean"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")))
-            moved = merges.select("block", F.col("gone").alias("root"), F.col("at").alias("into"))
-            roots = stored(roots.join(moved, ["block", "root"], "left").select("block", "at", F.coalesce("into", "root").alias("root")))
-        # What is small enough by now, and blocks where nothing merged, are done with in tasks or as they are.
-        counts = groups.groupBy("block").agg(F.count(F.lit(1)).alias("c")).join(merges.select("block").distinct().withColumn("goes", F.lit(True)), "block", "left")
-        ready = stored(counts.select("block", (F.col("c") <= most).alias("small"), (F.coalesce("goes", F.lit(False)) & (F.col("c") > most)).alias("on")))
-        small = groups.join(ready.where("small").select("block"), "block")
-        last = small.groupBy("block").applyInPandas(lambda rows: _in_task(rows, threshold), "block string, at bigint, root bigint").select("block", F.col("at").alias("root"), F.col("root").alias("into"))
-        ended, going = ready.where("not on").select("block"), ready.where("on").select("block")
-        if not ended.isEmpty():
-            done = stored(roots.join(ended, "block").join(last, ["block", "root"], "left").select("block", "at", F.coalesce("into", "root").alias("root")))
-            out = done if out is None else out.unionByName(done)
-            if going.isEmpty():
-                return out
-            groups, roots = stored(groups.join(going, "block")), stored(roots.join(going, "block"))
+        step = stored(_merged(groups, threshold))
+        if roots is None:
+            roots = step.select("block", "at", "root")
+        else:
+            moved = step.where("at <> root").select("block", F.col("at").alias("root"), F.col("root").alias("into"))
+            roots = stored(roots.join(moved.hint("merge"), ["block", "root"], "left").select("block", "at", F.coalesce("into", "root").alias("root")))
+        # What is small enough by now, and blocks of which few merge, are done with in tasks.
+        left, before = F.count("mean"), F.count(F.lit(1))
+        few = (left == before) | (left > before * 0.95) & (before <= MOST_LISTED)
+        going = step.where("mean is not null").join(step.groupBy("block").agg(((left <= most) | few).alias("small")), "block")
+        ready = going.where("small").select("block", "at", "mean", "n")
+        small = ready if small is None else small.unionByName(ready)
+        groups = stored(going.where("not small").select("block", "at", "mean", "n"))
+        if groups.isEmpty():
+            last = small.groupBy("block").applyInPandas(lambda rows: _in_task(rows, threshold), "block string, at bigint, root bigint").select("block", F.col("at").alias("root"), F.col("root").alias("into"))
+            return roots.join(last.hint("merge"), ["block", "root"], "left").select("block", "at", F.coalesce("into", "root").alias("root"))
 
 
 def average_linkage(vectors: DataFrame, keys: list[str], threshold: float = 0.65, id_col: str = "vec_id", vector: str = "embedding", most: int = MOST_IN_TASK) -> DataFrame:
@@ -194,7 +288,7 @@ def average_linkage(vectors: DataFrame, keys: list[str], threshold: float = 0.65
 
     The two groups of largest mean cosine merge first, until none reach the threshold, which must be above zero. Ids are whole numbers, distinct
     within a key and not null. Vectors that are null, zero or not finite, and those of another length than the key's commonest, are groups of
-    one. `most` is how many different vectors one task links; larger keys are divided into what hangs together by links, and that is merged in rounds.
+    one. `most` is how many different vectors one task links; larger keys are merged in rounds until no more are left.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be above zero")
@@ -211,15 +305,7 @@ def average_linkage(vectors: DataFrame, keys: list[str], threshold: float = 0.65
     found = distinct.where(F.col("c") <= most).select(columns).groupBy("block").applyInPandas(lambda x: _in_task(x, threshold), "block string, at bigint, root bigint")
     large = distinct.where(F.col("c") > most).select(columns)
     if not large.isEmpty():
-        parts = stored(connected(_linked(large, threshold)))
-        # Blocks are now what hangs together; vectors without a link are groups of one.
-        named = large.join(parts, ["block", "at"]).withColumn("block", F.concat_ws("|", "part", "block"))
-        counts = named.groupBy("block").agg(F.count(F.lit(1)).alias("c"))
-        named = stored(named.join(counts, "block"))
-        easy = named.where(F.col("c") <= most).select(columns).groupBy("block").applyInPandas(lambda x: _in_task(x, threshold), "block string, at bigint, root bigint")
-        hard = named.where(F.col("c") > most).select(columns)
-        merged = easy if hard.isEmpty() else easy.unionByName(_in_rounds(hard, threshold, most))
-        found = found.unionByName(merged.withColumn("block", F.expr("substring(block, instr(block, '|') + 1)")))
+        found = found.unionByName(_in_rounds(large, threshold, most))
     if threshold <= 1:
         copies = sound.join(same.select("block", "mean", F.col("at").alias("first")), ["block", "mean"]).select("block", "at", "first")
         found = copies.join(found.withColumnRenamed("at", "first"), ["block", "first"]).select("block", "at", "root")
